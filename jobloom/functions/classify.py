@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobloom import vocab
-from jobloom.functions.text import _col, nonempty
+from jobloom.functions.text import _col, let
 
 SUBSTRING, BOUNDARY_RAW, BOUNDARY_STRIPPED = "substring", "boundary_raw", "boundary_stripped"
 
@@ -67,14 +67,13 @@ def _first_hit(haystack: Column, kmap: dict[str, list[str]], mode: str) -> Colum
             lambda found, k: F.coalesce(found, F.when(test(k), k["category"])),
         )
 
-    # binding the lower-cased text to a lambda variable computes it once, not once per keyword
     low = F.lower(haystack)
     if mode == SUBSTRING:
-        bound = F.transform(F.array(low), pick)
+        found = let(low, pick)
     else:
         marked = F.regexp_replace(low, r"(?U)\b", _MARK)
-        bound = F.transform(F.array(F.struct(low.alias("plain"), marked.alias("marked"))), pick)
-    return F.when(F.length(haystack) > 0, F.get(bound, F.lit(0)))
+        found = let(F.struct(low.alias("plain"), marked.alias("marked")), pick)
+    return F.when(F.length(haystack) > 0, found)
 
 
 def keyword_category(
@@ -104,15 +103,15 @@ def first_match_sector(category: Column | str, title: Column | str) -> Column:
             for k, v in vocab.SECTOR_FIRST_MATCH.items()
         ]
     )
-    hit = F.transform(
-        F.array(t),
+    hit = let(
+        t,
         lambda h: F.aggregate(
             table,
             F.lit(None).cast("string"),
             lambda found, k: F.coalesce(found, F.when(F.contains(h, k["k"]), k["v"])),
         ),
     )
-    return F.coalesce(F.get(hit, F.lit(0)), F.lit("Other"))
+    return F.coalesce(hit, F.lit("Other"))
 
 
 def level_from_title(title: Column | str) -> Column:

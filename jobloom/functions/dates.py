@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobloom import vocab
-from jobloom.functions.text import _col, strip
+from jobloom.functions.text import _col, let, strip
 
 _MONTHS = "|".join(vocab.MONTH_ABBR)
 YEARS = (2020, 2030)
@@ -32,22 +32,25 @@ def parse_date(c: Column | str, years: tuple[int, int] = YEARS) -> Column:
     no real day inside the year window falls through to the next one.
     """
     s = strip(F.regexp_replace(strip(_col(c)), r"(?i)^(?:on|by|before|until|deadline:?)\s+", ""))
-    d_mon_y = rf"(?i)^(\d{{1,2}})\s+({_MONTHS})[a-z]*\s+(\d{{4}})"
-    mon_d_y = rf"(?i)^({_MONTHS})[a-z]*\s+(\d{{1,2}}),?\s+(\d{{4}})"
-    d_m_y = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
-    y_m_d = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})"
-
-    def g(p: str, i: int) -> Column:
-        return F.regexp_extract(s, p, i)
-
-    candidates = [
-        _day(g(d_mon_y, 3), _month_number(g(d_mon_y, 2)), g(d_mon_y, 1)),
-        _day(g(mon_d_y, 3), _month_number(g(mon_d_y, 1)), g(mon_d_y, 2)),
-        _day(g(d_m_y, 3), g(d_m_y, 2), g(d_m_y, 1)),
-        _day(g(y_m_d, 1), g(y_m_d, 2), g(y_m_d, 3)),
+    # each form rewrites matching text to year-month-day
+    forms = [
+        (rf"(?is)^(\d{{1,2}})\s+({_MONTHS})[a-z]*\s+(\d{{4}}).*$", "$3-$2-$1", "yyyy-MMM-d"),
+        (rf"(?is)^({_MONTHS})[a-z]*\s+(\d{{1,2}}),?\s+(\d{{4}}).*$", "$3-$1-$2", "yyyy-MMM-d"),
+        (r"(?s)^(\d{1,2})[/-](\d{1,2})[/-](\d{4}).*$", "$3-$2-$1", "yyyy-M-d"),
+        (r"(?s)^(\d{4})[/-](\d{1,2})[/-](\d{1,2}).*$", "$1-$2-$3", "yyyy-M-d"),
     ]
-    first = F.coalesce(*[F.when(F.year(d).between(*years), d) for d in candidates])
-    return F.when(~F.lower(s).isin(vocab.NOT_A_DATE), first)
+
+    def parsed(x: Column) -> Column:
+        # the rlike guard keeps text of another form away from the costly failing parse
+        days = F.array(
+            *[F.when(x.rlike(p), F.try_to_date(F.regexp_replace(x, p, r), f)) for p, r, f in forms]
+        )
+        return F.when(
+            ~F.lower(x).isin(vocab.NOT_A_DATE),
+            F.get(F.filter(days, lambda d: F.year(d).between(*years)), F.lit(0)),
+        )
+
+    return let(s, parsed)
 
 
 def valid_date(c: Column | str, years: tuple[int, int] = YEARS) -> Column:
@@ -61,7 +64,10 @@ def loose_deadline(c: Column | str) -> Column:
 
     No calendar check: the loader parses the result again.
     """
-    t = strip(F.coalesce(_col(c), F.lit("")))
+    return let(strip(F.coalesce(_col(c), F.lit(""))), _loose_deadline)
+
+
+def _loose_deadline(t: Column) -> Column:
     numeric = r"(\d{1,2})[/.](\d{1,2})[/.](\d{4})"
     low = F.lower(t)
     # full names are tried before abbreviations, each in calendar order
@@ -125,7 +131,10 @@ def days_ago(c: Column | str, as_of: Column) -> Column:
 
 def relative_day(c: Column | str, as_of: Column) -> Column:
     """Relative age (hours to years) as ``on dd-MM-yyyy``; ``''`` when not understood."""
-    low = strip(F.lower(F.coalesce(_col(c), F.lit(""))))
+    return let(strip(F.lower(F.coalesce(_col(c), F.lit("")))), lambda low: _relative_day(low, as_of))
+
+
+def _relative_day(low: Column, as_of: Column) -> Column:
     n = F.regexp_extract(low, r"(\d+)", 1).try_cast("int")
     today = F.to_date(as_of)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobloom import vocab
-from jobloom.functions.text import _col, capture, clean, join_nonempty, nonempty, strip
+from jobloom.functions.text import _col, capture, clean, join_nonempty, let, nonempty, strip
 
 MAX_SALARY = 9_999_999_999
 PAY_WORDS = "salary|remuneration|compensation|pay|stipend|rwf|usd|eur|frw"
@@ -21,7 +21,10 @@ def _has(text: Column, words: Sequence[str]) -> Column:
 
 def experience_years(text: Column | str) -> Column:
     """``0``, ``a-b``, ``n+``, ``n`` or ``''``; the first rule that applies decides."""
-    t = F.lower(F.coalesce(_col(text), F.lit("")))
+    return let(F.lower(F.coalesce(_col(text), F.lit(""))), _experience_years)
+
+
+def _experience_years(t: Column) -> Column:
     unit = r"\s*(?:years?|yrs?)"
     span = r"(?U)(\d+)\s*(?:to|-)\s*(\d+)" + unit
     open_end = r"(?U)(\d+)\s*\+" + unit
@@ -46,7 +49,10 @@ def salary(text: Column | str, strict: bool = True) -> Column:
     Strict: numbers count only when a pay word occurs, a range or one number of at
     least four characters.  Loose: a range of digits anywhere, nothing else.
     """
-    text = F.coalesce(_col(text), F.lit(""))
+    return let(F.coalesce(_col(text), F.lit("")), lambda t: _salary(t, strict))
+
+
+def _salary(text: Column, strict: bool) -> Column:
     low, digits = F.lower(text), F.replace(text, F.lit(","), F.lit(""))
     currency = F.lit("")
     for code, symbols in reversed(list(vocab.CURRENCY.items())):
@@ -57,12 +63,22 @@ def salary(text: Column | str, strict: bool = True) -> Column:
     def amount(c: Column) -> Column:
         return c.try_cast("double")
 
-    lo, hi = amount(F.regexp_extract(digits, span, 1)), amount(F.regexp_extract(digits, span, 2))
+    found = F.struct(
+        digits.rlike(span).alias("is_span"),
+        amount(F.regexp_extract(digits, span, 1)).alias("lo"),
+        amount(F.regexp_extract(digits, span, 2)).alias("hi"),
+        amount(F.regexp_extract(digits, r"([\d.]{4,})", 1)).alias("one"),
+        text.rlike(f"(?i){PAY_WORDS}").alias("gate"),
+        currency.alias("currency"),
+    )
+    return let(found, lambda x: _amounts(x, strict))
+
+
+def _amounts(x: Column, strict: bool) -> Column:
+    lo, hi, one = x["lo"], x["hi"], x["one"]
+    gate, is_span, currency = x["gate"], x["is_span"], x["currency"]
     in_range = (lo <= MAX_SALARY) & (hi <= MAX_SALARY)
     if strict:
-        gate = text.rlike(f"(?i){PAY_WORDS}")
-        one = amount(F.regexp_extract(digits, r"([\d.]{4,})", 1))
-        is_span = digits.rlike(span)
         low_end = F.when(gate & is_span & in_range, lo).when(gate & ~is_span & (one <= MAX_SALARY), one)
         high_end = F.when(gate & is_span & in_range, hi)
     else:
@@ -91,13 +107,17 @@ def place(
     remote_words: Sequence[str] = ("remote",),
 ) -> Column:
     """struct(location_raw, district, country, is_remote, is_hybrid)."""
+    return let(F.coalesce(_col(text), F.lit("")), lambda t: _place(t, districts, remote_words))
+
+
+def _place(text: Column, districts: Sequence[str], remote_words: Sequence[str]) -> Column:
     raw = F.coalesce(clean(text), F.lit(""))
-    t = F.lower(F.coalesce(_col(text), F.lit("")))
+    t = F.lower(text)
     # every district list starts with the capital, so naming it decides on its own
-    district = F.coalesce(*[F.when(F.contains(t, F.lit(d)), F.lit(d.capitalize())) for d in districts], F.lit(""))
+    first = F.filter(F.array(*[F.lit(d) for d in districts]), lambda d: F.contains(t, d))
     return F.struct(
         raw.alias("location_raw"),
-        district.alias("district"),
+        F.coalesce(F.initcap(F.get(first, F.lit(0))), F.lit("")).alias("district"),
         F.lit("Rwanda").alias("country"),
         _has(t, remote_words).alias("is_remote"),
         F.contains(t, F.lit("hybrid")).alias("is_hybrid"),
@@ -135,8 +155,6 @@ def eligibility(
     default_score: int = 3,
 ) -> Column:
     """struct(rwanda_eligible, eligibility_reason, confidence_score)."""
-    text = F.lower(join_nonempty(title, description, location))
-
     def verdict(ok: bool, reason: str, score: int) -> Column:
         return F.struct(
             F.lit(ok).alias("rwanda_eligible"),
@@ -144,11 +162,14 @@ def eligibility(
             F.lit(score).alias("confidence_score"),
         )
 
-    out = F.when(F.coalesce(_col(is_remote), F.lit(False)), verdict(True, remote_reason, 4))
-    for clause in disqualifiers:
-        out = out.when(F.contains(text, F.lit(clause)), verdict(False, clause_reason % clause, 5))
-    out = out.when(_has(text, vocab.COUNTRY_SIGNALS), verdict(True, country_reason, 5))
-    return out.otherwise(verdict(True, listed_on, default_score))
+    def decide(text: Column) -> Column:
+        out = F.when(F.coalesce(_col(is_remote), F.lit(False)), verdict(True, remote_reason, 4))
+        for clause in disqualifiers:
+            out = out.when(F.contains(text, F.lit(clause)), verdict(False, clause_reason % clause, 5))
+        out = out.when(_has(text, vocab.COUNTRY_SIGNALS), verdict(True, country_reason, 5))
+        return out.otherwise(verdict(True, listed_on, default_score))
+
+    return let(F.lower(join_nonempty(title, description, location)), decide)
 
 
 # --- fixed values: deadline phrases in running text --------------------------

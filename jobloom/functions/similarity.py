@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobloom.functions.text import let
+
 # Rare letters first.  Renaming letters by this table keeps strings distinct but
 # makes plain string order put grams of rare letters first, so the grams that
 # become join keys are the selective ones.  Any order would give the same result.
@@ -29,70 +31,44 @@ def block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 class Threshold:
     """``ratio > 1 - num/den`` with the integer bounds that follow from it.
 
-    A ratio above the threshold leaves at most ``slack`` characters of both strings
+    A ratio above the threshold leaves fewer than ``num/den`` of all characters
     unmatched.  Each unmatched character destroys at most ``q`` of the q-grams of
-    either string, so qualifying strings share at least :meth:`shared_grams` of them.
+    either string, so a string of length L shares at least ``(4 L - spare) / 10``
+    of its q-grams with every partner (the tests check this line against the exact
+    bound for all partner lengths).
     """
 
-    def __init__(self, num: int, den: int, q: int):
-        self.num, self.den, self.q = num, den, q
+    def __init__(self, num: int, den: int, q: int, spare: int):
+        self.num, self.den, self.q, self.spare = num, den, q, spare
 
     @property
     def value(self) -> float:
         return (self.den - self.num) / self.den
 
-    def slack_of(self, total: int) -> int:
-        """Largest number of unmatched characters below num/den of the total, same parity."""
-        d = (self.num * total - 1) // self.den
-        return d if d % 2 == total % 2 else d - 1
-
     def slack(self, total: Column) -> Column:
-        d = F.floor((F.lit(self.num) * total - 1) / F.lit(self.den))
-        return (d - F.pmod(d - total, F.lit(2))).cast("int")
-
-    def lengths_fit(self, a: Column, b: Column) -> Column:
-        """Necessary: the longer string has no more surplus than the slack."""
-        return F.abs(F.length(a) - F.length(b)) <= self.slack(F.length(a) + F.length(b))
-
-    def may_pass(self, a: Column, b: Column) -> Column:
-        """Cheap necessary test inside the JVM: edit distance within the slack."""
-        limit = self.slack(F.length(a) + F.length(b))
-        return F.call_function("levenshtein", a, b, limit) >= 0
-
-    def fewest_shared(self, length: int) -> int:
-        """Lower bound of common q-grams over every partner length the ratio allows."""
-        top = length * (self.den + self.num) // (self.den - self.num) + 1
-        bounds = []
-        for other in range(1, top + 1):
-            d = self.slack_of(length + other)
-            if d >= abs(length - other):
-                bounds.append(max(length, other) - self.q + 1 - self.q * d)
-        return min(bounds) if bounds else 0
-
-    def shared_grams(self, length: Column) -> Column:
-        """:meth:`fewest_shared` as an expression."""
-        L, q = length.cast("int"), self.q
-        span = F.sequence(F.lit(1), (L * (self.den + self.num) / F.lit(self.den - self.num)).cast("int") + 1)
+        """Most characters of both strings together that may stay unmatched."""
+        return F.floor((F.lit(self.num) * total - 1) / F.lit(self.den)).cast("int")
 
-        def bound(other: Column) -> Column:
-            d = self.slack(L + other)
-            need = F.greatest(L, other) - F.lit(q - 1) - F.lit(q) * d
-            return F.when(d >= F.abs(L - other), need)
+    def plausible(self, a: Column, b: Column) -> Column:
+        """Necessary tests inside the JVM: length difference and edit distance within the slack."""
+        slack = self.slack(F.length(a) + F.length(b))
+        near = F.abs(F.length(a) - F.length(b)) <= slack
+        return near & (F.call_function("levenshtein", a, b, slack) >= 0)
 
-        return F.coalesce(F.array_min(F.transform(span, bound)), F.lit(0))
+    def shared_grams(self, length: Column) -> Column:
+        return F.greatest(F.floor((length * 4 - self.spare) / F.lit(10)).cast("int"), F.lit(1))
 
     def _grams(self, text: Column) -> Column:
         """Distinct q-grams, rare letters first; empty for text shorter than ``q``."""
         size = F.length(text) - (self.q - 1)
-        # binding the renamed text to a lambda variable computes it once per string
-        cut = F.transform(
-            F.array(F.translate(text, _RARE_FIRST, _RANKED)),
+        cut = let(
+            F.translate(text, _RARE_FIRST, _RANKED),
             lambda r: F.transform(
                 F.sequence(F.lit(1), F.length(r) - (self.q - 1)),
                 lambda i: F.substring(r, i, F.lit(self.q)),
             ),
         )
-        grams = F.sort_array(F.array_distinct(F.get(cut, F.lit(0))))
+        grams = F.sort_array(F.array_distinct(cut))
         return F.when(size >= 1, grams).otherwise(F.array().cast("array<string>"))
 
     def with_keys(self, df: DataFrame, text: str, level: Column, into: str = "_key") -> DataFrame:
@@ -104,24 +80,24 @@ class Threshold:
         more grams at once, which keeps every key selective without losing a pair.
         A text that need not share that many grams also meets on smaller k.
         """
-        staged = df.withColumn("_g", self._grams(F.col(text))).withColumn(
+        length = F.length(text)
+
+        def keys(x: Column) -> Column:
+            grams, level = x["grams"], x["level"]
             # repeated grams of the text may all fall on one distinct gram
-            "_s",
-            F.greatest(
-                self.shared_grams(F.length(text)) - (F.length(text) - (self.q - 1)) + F.size("_g"),
-                F.lit(1),
-            ),
-        ).withColumn("_level", level)
+            repeats = length - (self.q - 1) - F.size(grams)
+            shared = F.greatest(self.shared_grams(length) - repeats, F.lit(1))
 
-        def prefix(k: int) -> Column:
-            return F.slice("_g", 1, F.greatest(F.size("_g") - F.col("_s") + k, F.lit(0)))
+            def of_level(k: int) -> Column:
+                emits = (level == k) | ((level > k) & (shared <= k))
+                prefix = F.slice(grams, 1, F.greatest(F.size(grams) - shared + k, F.lit(0)))
+                combined = let(prefix, lambda items: _combinations(items, k))
+                return F.when(emits, combined).otherwise(F.array().cast("array<string>"))
 
-        def emits(k: int) -> Column:
-            return (F.col("_level") >= k) & ((F.col("_level") == k) | (F.col("_s") <= k))
+            return F.concat(of_level(1), of_level(2), of_level(3))
 
-        none = F.array().cast("array<string>")
-        per_level = [F.when(emits(k), _combinations(prefix(k), k)).otherwise(none) for k in (1, 2, 3)]
-        return staged.withColumn(into, F.explode(F.concat(*per_level))).drop("_g", "_s", "_level")
+        staged = F.struct(self._grams(F.col(text)).alias("grams"), level.alias("level"))
+        return df.withColumn(into, F.explode(let(staged, keys)))
 
 
 def _combinations(items: Column, k: int) -> Column:
@@ -150,5 +126,5 @@ def _combinations(items: Column, k: int) -> Column:
     )
 
 
-TITLE = Threshold(1, 10, q=3)  # ratio > 0.9
-COMPANY = Threshold(3, 20, q=2)  # ratio > 0.85
+TITLE = Threshold(1, 10, q=3, spare=14)  # ratio > 0.9
+COMPANY = Threshold(3, 20, q=2, spare=8)  # ratio > 0.85

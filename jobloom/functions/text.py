@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it many times in ``body``.
+
+    Without the lambda binding Spark would repeat the value's expression at every use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nonempty(c: Column | str) -> Column:
     """Null when the value is null or ``''``."""
     return F.nullif(_col(c), F.lit(""))
@@ -154,7 +164,10 @@ def company_from_slug(c: Column | str, before: str | None = None) -> Column:
 
 def role_at_company(c: Column | str) -> Column:
     """``Role at Company`` -> struct(title, company); no match leaves the title whole."""
-    c = _col(c)
+    return let(_col(c), _role_at_company)
+
+
+def _role_at_company(c: Column) -> Column:
     p = r"(?i)^(.+?)\s+at\s+(.+)$"
     hit = c.rlike(p)
     return F.struct(
@@ -168,6 +181,12 @@ def announcement_title(c: Column | str) -> Column:
     raw = F.coalesce(_col(c), F.lit(""))
     core = strip(F.regexp_replace(raw, r"(?i)\s*:?\s*\(Deadline.+?\)", ""))
     core = strip(F.regexp_replace(core, r":+$", ""))
+    return let(
+        F.struct(raw.alias("raw"), core.alias("core")), lambda x: _announcement(x["raw"], x["core"])
+    )
+
+
+def _announcement(raw: Column, core: Column) -> Column:
     many = r"(?i)^(\d+)\s+(?:job\s+)?positions?\s+(?:of\s+(.+?)\s+)?at\s+(.+)$"
     one = r"(?i)^(.+?)\s+at\s+(.+)$"
     is_many, is_one = core.rlike(many), core.rlike(one)
@@ -200,6 +219,12 @@ def announcement_title(c: Column | str) -> Column:
 
 def _drop_suffix(title: Column, value: Column) -> Column:
     """Remove ``, value`` from the end, ignoring case."""
+    return let(
+        F.struct(title.alias("t"), value.alias("v")), lambda x: _without_suffix(x["t"], x["v"])
+    )
+
+
+def _without_suffix(title: Column, value: Column) -> Column:
     t = F.rtrim(title)
     head = F.substring(t, F.lit(1), F.length(t) - F.length(value))
     hit = (

@@ -36,8 +36,8 @@ from jobloom.session import ensure_checkpoint_dir
 class Blocking:
     """Block sizes from which keys combine two or three grams.  Speed only, never the result."""
 
-    two_grams_from: int = 5_000
-    three_grams_from: int = 1_000_000
+    two_grams_from: int = 500
+    three_grams_from: int = 50_000
 
     def level(self, members: Column) -> Column:
         return (
@@ -69,11 +69,20 @@ def with_duplicate_keys(active: DataFrame, fold_acronym: bool = False) -> DataFr
 # --- company matches --------------------------------------------------------
 
 
+def _on_keys(keyed: DataFrame, *keys: str) -> DataFrame:
+    """Partition join keys by hash into the session's full number of partitions.
+
+    Comparing candidates costs CPU, not bytes; size-based coalescing would put them
+    on a few cores.
+    """
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, *keys)
+
+
 def _both_ratios(pairs: DataFrame, a: str, b: str, threshold: Threshold) -> DataFrame:
     """Verify pairs in both directions; at least one must pass."""
     return (
-        pairs.filter(threshold.lengths_fit(F.col(a), F.col(b)))
-        .filter(threshold.may_pass(F.col(a), F.col(b)))
+        pairs.filter(threshold.plausible(F.col(a), F.col(b)))
         .distinct()
         .withColumn("ab", block_ratio(F.col(a), F.col(b)) > threshold.value)
         .withColumn("ba", block_ratio(F.col(b), F.col(a)) > threshold.value)
@@ -84,8 +93,8 @@ def _both_ratios(pairs: DataFrame, a: str, b: str, threshold: Threshold) -> Data
 def similar_names(names: DataFrame, blocking: Blocking = DEFAULT_BLOCKING) -> DataFrame:
     """(a, b, ab, ba): distinct company keys of four characters or more, over 85 % alike."""
     named = names.filter(F.length("n") >= 4).select("n").distinct()
-    level = blocking.level(named.agg(F.count("*")).scalar())
-    keyed = COMPANY.with_keys(named, "n", level)
+    level = blocking.level(F.lit(named.count()))
+    keyed = _on_keys(COMPANY.with_keys(named, "n", level), "_key")
     pairs = (
         keyed.withColumnRenamed("n", "a")
         .join(keyed.withColumnRenamed("n", "b"), "_key")
@@ -101,7 +110,7 @@ def contained_bases(bases: DataFrame) -> DataFrame:
     Every 4-gram of the part occurs in the whole, so the part waits under its
     rarest one and the whole visits each of its own.
     """
-    gram4 = Threshold(0, 1, q=4)._grams
+    gram4 = Threshold(0, 1, q=4, spare=0)._grams
     distinct = bases.filter(F.col("b").isNotNull()).select("b").distinct()
     parts = distinct.select(F.col("b").alias("a"), F.get(gram4(F.col("b")), F.lit(0)).alias("_key"))
     wholes = distinct.select("b", F.explode(gram4(F.col("b"))).alias("_key"))
@@ -137,9 +146,12 @@ def _links(units: DataFrame, matches: DataFrame, inner: DataFrame, kind: str, bl
         )
     )
     visitors = units.withColumnRenamed("space", "home").join(roads, "home")
-    leveled = lambda df: TITLE.with_keys(
-        df.join(sizes, "space"), "t", blocking.level(F.col("members"))
-    ).drop("members")
+
+    def leveled(df: DataFrame) -> DataFrame:
+        sized = df.join(sizes, "space")
+        keyed = TITLE.with_keys(sized, "t", blocking.level(F.col("members"))).drop("members")
+        return _on_keys(keyed, "space", "_key")
+
     hosts = units.join(roads.select("space").union(inner.select("space")).distinct(), "space", "left_semi")
     keyed_hosts = leveled(hosts)
 
