@@ -111,3 +111,58 @@ def last_page(html: Column | str, pattern: str = r"page=(\d+)") -> Column:
 
 def absolute(base_url: str, href: Column | str) -> Column:
     return resolve(base_url, href)
+
+
+def describe(html: Column | str, text: Column | str) -> Column:
+    """Description cascade: paragraphs of the content area, else the text after a date marker.
+
+    Paragraph text of at most 150 characters or made of navigation words does not count.
+    """
+    html = _col(html)
+    text = _col(text)
+    area = drop_blocks(F.coalesce(element(html, "main|article"), F.lit("")))
+    paragraphs = F.filter(
+        F.transform(elements(area, "p"), text_of), lambda p: F.length(p) > 10
+    )
+    joined = F.array_join(paragraphs, " ")
+    # fixed values: words of the navigation bar
+    is_nav = F.substring(joined, 1, 150).rlike(
+        "Category Announcement Internship|All Category Distance|5 Miles 10 Miles"
+    )
+    area_text = text_of(area)
+    marker = F.regexp_instr(area_text, F.lit("Posted|Deadline|Published on"))
+    after = nonempty(
+        F.trim(F.regexp_extract(F.substring(area_text, marker, F.length(area_text)), r"(?s)^[^.]*\.(.*)$", 1))
+    )
+    page_marker = F.regexp_instr(text, F.lit("Posted|Sign up for Job Alerts"))
+    rest = F.substring(text, page_marker + 100, F.length(text))
+    return F.coalesce(
+        F.when((F.length(joined) > 150) & ~is_nav, joined),
+        F.when((F.length(area_text) > 500) & (marker > 1), after),
+        F.when((F.length(text) > 600) & page_marker.between(2, 800) & (F.length(rest) > 200), rest),
+        F.lit(""),
+    )
+
+
+def company_of(html: Column | str, text: Column | str) -> Column:
+    """Company cascade: company link, company-classed element, label, image alt text."""
+    html = _col(html)
+    alts = F.filter(
+        F.regexp_extract_all(html, F.lit(r"""(?is)<img\b[^>]*?\balt\s*=\s*["']([^"']*)["']"""), 1),
+        lambda a: (F.length(F.trim(a)) > 2) & ~F.lower(a).rlike("logo|icon"),
+    )
+    link = r"""href\s*=\s*["'][^"']*/jobs/company-detail/"""
+    named = r"""class\s*=\s*["'][^"']*company"""
+
+    def long_enough(c: Column) -> Column:
+        return F.when(F.length(c) > 2, c)
+
+    return F.coalesce(
+        long_enough(clean(attribute(html, "a", "title", link))),
+        long_enough(element_text(html, "a", link)),
+        long_enough(element_text(html, "div", named)),
+        long_enough(element_text(html, "span", named)),
+        clean(F.regexp_extract(text, r"(?i)Company(?:\s+Name)?:\s*([^\n|]{3,100})", 1)),
+        F.trim(F.get(alts, F.lit(0))),
+        F.lit(""),
+    )

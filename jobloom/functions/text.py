@@ -139,15 +139,23 @@ def query_value(url: Column | str, key: str) -> Column:
     return nonempty(F.regexp_extract(_col(url), key + r"=([^&]+)", 1))
 
 
-def resolve(base_url: str, href: Column | str) -> Column:
-    """Absolute link: absolute stays, rooted or relative is put under the host."""
+def host_of(url: Column | str) -> Column:
+    """Scheme and host of an absolute URL."""
+    return F.regexp_extract(_col(url), r"^(https?://[^/?#]+)", 1)
+
+
+def resolve(base_url: Column | str, href: Column | str) -> Column:
+    """Absolute link: absolute stays, rooted or relative is put under the host.
+
+    ``base_url`` is a fixed address or a column with the page's own host.
+    """
     href = _col(href)
-    host = base_url.rstrip("/")
+    host = F.lit(base_url.rstrip("/")) if isinstance(base_url, str) else base_url
     return (
         F.when(href.rlike(r"^https?://"), href)
-        .when(href.startswith("//"), F.concat(F.lit(host.split("//")[0]), href))
-        .when(href.startswith("/"), F.concat(F.lit(host), href))
-        .otherwise(F.concat(F.lit(host + "/"), href))
+        .when(href.startswith("//"), F.concat(F.substring_index(host, "//", 1), href))
+        .when(href.startswith("/"), F.concat(host, href))
+        .otherwise(F.concat(host, F.lit("/"), href))
     )
 
 

@@ -327,6 +327,21 @@ def group_report(active: DataFrame, leaders: DataFrame, top: int | None = 3) ->
 # --- exact rules as a report ------------------------------------------------
 
 
+def exact_units(keyed: DataFrame) -> DataFrame:
+    """Titles shared with the same company key or the same deadline, with their copies."""
+    value = F.array(
+        F.when(F.col("n") != "", F.struct(F.lit("company").alias("rule"), F.col("n").alias("v"))),
+        F.when(F.col("dl") != "", F.struct(F.lit("deadline").alias("rule"), F.col("dl").alias("v"))),
+    )
+    return (
+        keyed.select("t", F.explode(value).alias("u"))
+        .filter("u IS NOT NULL")
+        .groupBy(F.col("u.rule").alias("rule"), F.col("t").alias("title_key"), F.col("u.v").alias("shared_value"))
+        .agg(F.count("*").alias("copies"))
+        .filter("copies > 1")
+    )
+
+
 def company_variants(jobs: DataFrame) -> DataFrame:
     """Company keys written in more than one way, with the number of spellings."""
     return (

@@ -289,14 +289,12 @@ def _stub_daily(card: Column, url: Column) -> Fields:
 
 
 def _detail_daily(html: Column, text: Column) -> Fields:
-    from jobloom.operators.pages import describe
-
     dates = D.published_and_deadline(text)
     return {
         "title": H.element_text(html, "h1"),
         "company": T.capture(text, r"\bat\s+([A-Z][A-Za-z0-9\s&.()]+?)\s*\|"),
         "location_raw": H.element_text(html, r"\w+", r"""class\s*=\s*["'][^"']*location"""),
-        "description": describe(html, text),
+        "description": H.describe(html, text),
         "posted_date": dates["posted_date"],
         "deadline": dates["deadline"],
         "application_link": H.apply_link(html, ("apply", "submit application"), "https://jobs.newtimes.co.rw"),
@@ -325,11 +323,9 @@ def _stub_portal(card: Column, url: Column) -> Fields:
 
 
 def _detail_portal(html: Column, text: Column) -> Fields:
-    from jobloom.operators.pages import company_of
-
     body = r"""(?:jsjobsview|job-description|jobdesc|jsjobs_job_description|item-page|jd_inner)"""
     return {
-        "company": company_of(html, text),
+        "company": H.company_of(html, text),
         "description": F.coalesce(H.element_text(html, "div", body), H.element_text(html, "main|article")),
         "application_link": H.apply_link(
             html, ("apply now", "apply here", "submit application", "click to apply"),
@@ -579,9 +575,12 @@ PROFILES: dict[str, SourceProfile] = {
 }
 
 
-def build_postings(raw: DataFrame, profile: SourceProfile, as_of: Column) -> DataFrame:
+def build_postings(
+    raw: DataFrame, profile: SourceProfile, as_of: Column, keep: Sequence[str] = ()
+) -> DataFrame:
     """Merged raw fields to canonical records; missing raw columns count as empty.
 
+    ``keep`` names columns the input already carries, such as ``source`` or ``is_active``.
     Three projections, no shuffle: place and salary first, then keywords, then eligibility.
     """
     given = raw.select(
@@ -608,7 +607,8 @@ def build_postings(raw: DataFrame, profile: SourceProfile, as_of: Column) -> Dat
         "is_active": F.lit(True),
     }
     own = profile.classify(profile)
-    classified = placed.withColumns({**base, **own}).drop("_place", "_pay")
+    made = {n: c for n, c in {**base, **own}.items() if n not in keep}
+    classified = placed.withColumns(made).drop("_place", "_pay")
     if "rwanda_eligible" not in own:
         verdict = X.eligibility(
             "title", "description", "location_raw", "is_remote", profile.disqualifiers,
