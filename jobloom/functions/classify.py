@@ -1,6 +1,6 @@
 """Keyword and rule classifiers.
 
-All keyword tables become one literal array, longest keyword first, so the first
+A keyword table becomes one constant array, longest keyword first, so the first
 hit is the answer.  ``aggregate`` stops testing after that hit because
 ``coalesce`` is lazy.
 """
@@ -43,36 +43,42 @@ def ranked(kmap: dict[str, list[str]], mode: str = SUBSTRING) -> list[tuple[str,
     return [(needle, category, bounded) for _, _, needle, category, bounded in out]
 
 
-def _first_hit(haystack: Column, kmap: dict[str, list[str]], mode: str) -> Column:
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(_mark(n) if b else n).alias("needle"),
-                F.lit(c).alias("category"),
-                F.lit(b).alias("bounded"),
-            )
-            for n, c, b in ranked(kmap, mode)
-        ]
-    )
+def _constant_array(values: list[str]) -> Column:
+    """A list of strings as one literal that the optimizer folds into a constant array."""
+    return F.split(F.lit("\x02".join(values)), "\x02")
+
+
+def _first_in(haystack: Column, needles: list[str], values: list[str]) -> Column:
+    """The value of the first needle contained in the text, null if none is.
+
+    Needles with word boundaries are looked up in the marked text.
+    """
+    table = _constant_array(needles)
+    marked = any(n.startswith(_MARK) for n in needles)
 
     def pick(h: Column) -> Column:
-        def test(k: Column) -> Column:
-            if mode == SUBSTRING:
-                return F.contains(h, k["needle"])
-            return F.contains(F.when(k["bounded"], h["marked"]).otherwise(h["plain"]), k["needle"])
+        def within(k: Column) -> Column:
+            if not marked:
+                return F.contains(h, k)
+            return F.contains(F.when(F.startswith(k, F.lit(_MARK)), h["marked"]).otherwise(h["plain"]), k)
 
         return F.aggregate(
             table,
             F.lit(None).cast("string"),
-            lambda found, k: F.coalesce(found, F.when(test(k), k["category"])),
+            lambda found, k: F.coalesce(found, F.when(within(k), k)),
         )
 
     low = F.lower(haystack)
-    if mode == SUBSTRING:
-        found = let(low, pick)
-    else:
-        marked = F.regexp_replace(low, r"(?U)\b", _MARK)
-        found = let(F.struct(low.alias("plain"), marked.alias("marked")), pick)
+    text = low
+    if marked:
+        text = F.struct(low.alias("plain"), F.regexp_replace(low, r"(?U)\b", _MARK).alias("marked"))
+    return F.try_element_at(_constant_array(values), F.array_position(table, let(text, pick)).cast("int"))
+
+
+def _first_hit(haystack: Column, kmap: dict[str, list[str]], mode: str) -> Column:
+    table = ranked(kmap, mode)
+    needles = [_mark(n) if bounded else n for n, _, bounded in table]
+    found = _first_in(haystack, needles, [category for _, category, _ in table])
     return F.when(F.length(haystack) > 0, found)
 
 
@@ -96,22 +102,9 @@ def _any(text: Column, words: list[str]) -> Column:
 
 def first_match_sector(category: Column | str, title: Column | str) -> Column:
     """First key of the ordered map contained in ``category title``; ``Other`` if none."""
-    t = F.lower(F.concat_ws(" ", F.coalesce(_col(category), F.lit("")), F.coalesce(_col(title), F.lit(""))))
-    table = F.array(
-        *[
-            F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"))
-            for k, v in vocab.SECTOR_FIRST_MATCH.items()
-        ]
-    )
-    hit = let(
-        t,
-        lambda h: F.aggregate(
-            table,
-            F.lit(None).cast("string"),
-            lambda found, k: F.coalesce(found, F.when(F.contains(h, k["k"]), k["v"])),
-        ),
-    )
-    return F.coalesce(hit, F.lit("Other"))
+    text = F.concat_ws(" ", F.coalesce(_col(category), F.lit("")), F.coalesce(_col(title), F.lit("")))
+    rules = vocab.SECTOR_FIRST_MATCH
+    return F.coalesce(_first_in(text, list(rules), list(rules.values())), F.lit("Other"))
 
 
 def level_from_title(title: Column | str) -> Column:

@@ -114,7 +114,7 @@ def _place(text: Column, districts: Sequence[str], remote_words: Sequence[str])
     raw = F.coalesce(clean(text), F.lit(""))
     t = F.lower(text)
     # every district list starts with the capital, so naming it decides on its own
-    first = F.filter(F.array(*[F.lit(d) for d in districts]), lambda d: F.contains(t, d))
+    first = F.filter(F.split(F.lit(" ".join(districts)), " "), lambda d: F.contains(t, d))
     return F.struct(
         raw.alias("location_raw"),
         F.coalesce(F.initcap(F.get(first, F.lit(0))), F.lit("")).alias("district"),
@@ -126,9 +126,13 @@ def _place(text: Column, districts: Sequence[str], remote_words: Sequence[str])
 
 def named_district(text: Column | str) -> Column:
     """struct(district, country); text that names no known place is kept as the district."""
-    raw = strip(F.coalesce(_col(text), F.lit("")))
+    return let(strip(F.coalesce(_col(text), F.lit(""))), _named_district)
+
+
+def _named_district(raw: Column) -> Column:
     low = F.lower(raw)
-    found = F.coalesce(*[F.when(F.contains(low, F.lit(d.lower())), F.lit(d)) for d in vocab.DISTRICTS_TOWNS])
+    towns = F.split(F.lit(" ".join(vocab.DISTRICTS_TOWNS)), " ")
+    found = F.get(F.filter(towns, lambda d: F.contains(low, F.lower(d))), F.lit(0))
     return F.struct(
         F.coalesce(found, F.when(low == "rwanda", "").otherwise(raw)).alias("district"),
         F.lit("Rwanda").alias("country"),
@@ -213,7 +217,8 @@ FIELD_LABELS = (
 def labelled(text: Column | str, label: str, stops: Sequence[str] = FIELD_LABELS) -> Column:
     """Value after ``Label:`` up to the next label, line end, ``|`` or ``**``; null if absent."""
     others = "|".join(re.escape(s) for s in sorted(stops, key=len, reverse=True) if s != label)
-    return capture(text, rf"\b{label}\s*:\s*(.+?)(?:\s*\*\*|\s*\||\n|\s+(?:{others})\b|$)")
+    next_label = rf"|\s+(?:{others})\b" if others else ""
+    return capture(text, rf"\b{label}\s*:\s*(.+?)(?:\s*\*\*|\s*\||\n{next_label}|$)")
 
 
 def stated_place(text: Column | str, head: int | None = 500) -> Column:
@@ -222,11 +227,12 @@ def stated_place(text: Column | str, head: int | None = 500) -> Column:
     label = capture(
         t, r"(?:Location|Place\s+of\s+work|Work\s+station|Based\s+in)[:\s]+([^\n.]{3,60})"
     )
-    opening = F.lower(F.substring(t, 1, head) if head else t)
-    named = F.coalesce(
-        *[F.when(F.contains(opening, F.lit(d)), F.lit(d.capitalize())) for d in vocab.DISTRICTS]
+    districts = F.split(F.lit(" ".join(vocab.DISTRICTS)), " ")
+    named = let(
+        F.lower(F.substring(t, 1, head) if head else t),
+        lambda opening: F.get(F.filter(districts, lambda d: F.contains(opening, d)), F.lit(0)),
     )
-    return F.coalesce(label, named, F.lit(""))
+    return F.coalesce(label, F.initcap(named), F.lit(""))
 
 
 def between_markers(text: Column | str, start: str, end: str) -> Column:

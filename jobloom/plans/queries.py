@@ -221,8 +221,8 @@ def tender_split(spark, sf_dir):
 
 # --- search -----------------------------------------------------------------
 
-_SEARCHED = "live WHERE (regexp_matches(title, '(?i)officer|nurse') OR regexp_matches(company, '(?i)officer|nurse')) AND source = 'boarda' AND days_to_deadline <= 400"
-CRITERIA = search.Criteria(text="officer|nurse", source="boarda", within_days=400)
+_SEARCHED = "live WHERE (regexp_matches(title, '(?i)officer|nurse') OR regexp_matches(company, '(?i)officer|nurse')) AND source = 'boardc' AND days_to_deadline <= 400"
+CRITERIA = search.Criteria(text="officer|nurse", source="boardc", within_days=400)
 
 
 @query(
@@ -254,10 +254,10 @@ def quick_filters(spark, sf_dir):
 
 
 @query(
-    f"WITH {O.ACTIVE} SELECT id, title FROM live WHERE sector = 'Health' AND district = 'Musanze' AND contains(lower(company), 'org 1')"
+    f"WITH {O.ACTIVE} SELECT id, title FROM live WHERE sector = 'Health' AND district = 'Musanze' AND contains(lower(company), 'org ')"
 )
 def exact_filters(spark, sf_dir):
-    c = search.Criteria(text="org 1", literal=True, sector="Health", district="Musanze")
+    c = search.Criteria(text="org ", literal=True, sector="Health", district="Musanze")
     return search.search(active(spark, sf_dir), c).select("id", "title")
 
 
@@ -574,7 +574,7 @@ def rule_classifiers(spark, sf_dir):
     )
 
 
-_RAWCARD = "title || ', ' || CASE WHEN ends_with(id, 'a') THEN 'P4' WHEN ends_with(id, 'b') THEN 'NO-2' WHEN ends_with(id, 'c') THEN 'd1' ELSE 'Fixed-Term' END || ', Kigali, Rwanda, #00' || substr(source_url, -4)"
+_RAWCARD = "title || ', ' || CASE WHEN ends_with(id, 'a') THEN 'P4' WHEN ends_with(id, 'b') THEN 'NO-2' WHEN ends_with(id, 'c') THEN 'd1' ELSE 'Fixed-Term' END || ', Kigali, Rwanda, #00' || split_part(source_url, '/', -1)"
 _GRADE = r"upper(regexp_extract(raw, '(?i)\b(P[1-6]|G[1-7]|D[12]|NO-?[A-D1-4]|ASG|USG|FS-\d)\b', 1))"
 
 
@@ -587,7 +587,7 @@ SELECT id, grade, CASE WHEN regexp_matches(grade, '^(P[12]|G[1-5]|NO-?[AB12])$')
  {O.squeeze('title')} AS title FROM g""")
 def un_cards(spark, sf_dir):
     tail = F.expr("CASE WHEN endswith(id, 'a') THEN 'P4' WHEN endswith(id, 'b') THEN 'NO-2' WHEN endswith(id, 'c') THEN 'd1' ELSE 'Fixed-Term' END")
-    raw = F.concat("title", F.lit(", "), tail, F.lit(", Kigali, Rwanda, #00"), F.substring("source_url", -4, 4))
+    raw = F.concat("title", F.lit(", "), tail, F.lit(", Kigali, Rwanda, #00"), F.substring_index("source_url", "/", -1))
     df = job_postings(spark, sf_dir).select("id", raw.alias("raw")).withColumn("grade", C.un_grade("raw"))
     return df.select(
         "id", "grade", C.un_grade_level("grade").alias("job_level"), C.un_employment("raw").alias("employment_type"),
@@ -773,7 +773,7 @@ def url_parts(spark, sf_dir):
     )
 
 
-@query(r"""WITH n AS (SELECT url, list_max(list_transform(regexp_extract_all(html, '[/=](\d{1,3})["&]', 1), x -> CAST(x AS INTEGER))) AS last FROM (SELECT url, url || '"' AS html FROM pages)),
+@query(r"""WITH n AS (SELECT url, list_max(CAST(regexp_extract_all(html, '[/=](\d{1,3})["&]', 1) AS INTEGER[])) AS last FROM (SELECT url, url || '"' AS html FROM pages)),
  e AS (SELECT url, CAST(unnest(range(0, coalesce(last, 0) + 1)) AS INTEGER) AS page FROM n)
 SELECT url, page, CASE WHEN page = 0 THEN url ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'page=' || CAST(page AS VARCHAR) END AS page_url FROM e""")
 def pager_urls(spark, sf_dir):
