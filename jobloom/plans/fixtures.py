@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.session import pin_utc
 
-AS_OF = dt.datetime(2026, 3, 1, 10, 0, 0)
-AS_OF_SQL = "TIMESTAMP '2026-03-01 10:00:00'"
+AS_OF = "2026-03-01 10:00:00"
+AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
