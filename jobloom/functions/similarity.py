@@ -19,6 +19,20 @@ _RARE_FIRST = "zqjxkvbwpygfmucdlhrsnioate "
 _RANKED = "abcdefghijklmnopqrstuvwxyz{"
 
 
+# Letters and digits dealt into buckets; strings whose bucket counts differ by more than
+# the slack cannot qualify.  Any partition would give the same result.
+_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
+BUCKETS = 9
+
+
+def letter_counts(text: Column) -> Column:
+    """Number of characters of the text per bucket."""
+    size = F.length(text)
+    return F.array(
+        *[size - F.length(F.translate(text, _ALPHABET[i::BUCKETS], "")) for i in range(BUCKETS)]
+    )
+
+
 @F.pandas_udf(T.DoubleType())
 def block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-block ratio of (first, second); the order of the arguments matters."""
@@ -49,10 +63,16 @@ class Threshold:
         """Most characters of both strings together that may stay unmatched."""
         return F.floor((F.lit(self.num) * total - 1) / F.lit(self.den)).cast("int")
 
-    def plausible(self, a: Column, b: Column) -> Column:
-        """Necessary tests inside the JVM: length difference and edit distance within the slack."""
+    def plausible(self, a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+        """Necessary tests inside the JVM, cheapest first, each within the slack.
+
+        Length difference, difference of the letter counts, edit distance.
+        """
         slack = self.slack(F.length(a) + F.length(b))
-        near = F.abs(F.length(a) - F.length(b)) <= slack
+        apart = F.abs(counts_a[0] - counts_b[0])
+        for i in range(1, BUCKETS):
+            apart = apart + F.abs(counts_a[i] - counts_b[i])
+        near = (F.abs(F.length(a) - F.length(b)) <= slack) & (apart <= slack)
         return near & (F.call_function("levenshtein", a, b, slack) >= 0)
 
     def shared_grams(self, length: Column) -> Column:
@@ -72,7 +92,7 @@ class Threshold:
         return F.when(size >= 1, grams).otherwise(F.array().cast("array<string>"))
 
     def with_keys(self, df: DataFrame, text: str, level: Column, into: str = "_key") -> DataFrame:
-        """One row per join key of ``text``.
+        """One row per join key of ``text``, with its letter counts in ``_counts``.
 
         If two sets share ``s`` elements, their ``|set| - s + k`` smallest elements
         under one common order share ``k`` of them, so rows meet on combinations of
@@ -97,7 +117,7 @@ class Threshold:
             return F.concat(of_level(1), of_level(2), of_level(3))
 
         staged = F.struct(self._grams(F.col(text)).alias("grams"), level.alias("level"))
-        return df.withColumn(into, F.explode(let(staged, keys)))
+        return df.withColumns({"_counts": letter_counts(F.col(text)), into: F.explode(let(staged, keys))})
 
 
 def _combinations(items: Column, k: int) -> Column:

@@ -36,8 +36,8 @@ from jobloom.session import ensure_checkpoint_dir
 class Blocking:
     """Block sizes from which keys combine two or three grams.  Speed only, never the result."""
 
-    two_grams_from: int = 500
-    three_grams_from: int = 50_000
+    two_grams_from: int = 5_000
+    three_grams_from: int = 500_000
 
     def level(self, members: Column) -> Column:
         return (
@@ -70,10 +70,10 @@ def with_duplicate_keys(active: DataFrame, fold_acronym: bool = False) -> DataFr
 
 
 def _on_keys(keyed: DataFrame, *keys: str) -> DataFrame:
-    """Partition join keys by hash into the session's full number of partitions.
+    """Partition by hash into the session's full number of partitions.
 
-    Comparing candidates costs CPU, not bytes; size-based coalescing would put them
-    on a few cores.
+    Cutting and comparing strings costs CPU, not bytes; size-based coalescing would
+    put the work on a few cores.
     """
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(parts, *keys)
@@ -81,8 +81,10 @@ def _on_keys(keyed: DataFrame, *keys: str) -> DataFrame:
 
 def _both_ratios(pairs: DataFrame, a: str, b: str, threshold: Threshold) -> DataFrame:
     """Verify pairs in both directions; at least one must pass."""
+    plausible = threshold.plausible(F.col(a), F.col(b), F.col("_counts_a"), F.col("_counts_b"))
     return (
-        pairs.filter(threshold.plausible(F.col(a), F.col(b)))
+        pairs.filter(plausible)
+        .drop("_counts_a", "_counts_b")
         .distinct()
         .withColumn("ab", block_ratio(F.col(a), F.col(b)) > threshold.value)
         .withColumn("ba", block_ratio(F.col(b), F.col(a)) > threshold.value)
@@ -94,12 +96,12 @@ def similar_names(names: DataFrame, blocking: Blocking = DEFAULT_BLOCKING) -> Da
     """(a, b, ab, ba): distinct company keys of four characters or more, over 85 % alike."""
     named = names.filter(F.length("n") >= 4).select("n").distinct()
     level = blocking.level(F.lit(named.count()))
-    keyed = _on_keys(COMPANY.with_keys(named, "n", level), "_key")
+    keyed = _on_keys(COMPANY.with_keys(_on_keys(named, "n"), "n", level), "_key")
     pairs = (
-        keyed.withColumnRenamed("n", "a")
-        .join(keyed.withColumnRenamed("n", "b"), "_key")
+        keyed.withColumnsRenamed({"n": "a", "_counts": "_counts_a"})
+        .join(keyed.withColumnsRenamed({"n": "b", "_counts": "_counts_b"}), "_key")
         .filter(F.col("a") < F.col("b"))
-        .select("a", "b")
+        .drop("_key")
     )
     return _both_ratios(pairs, "a", "b", COMPANY)
 
@@ -148,7 +150,7 @@ def _links(units: DataFrame, matches: DataFrame, inner: DataFrame, kind: str, bl
     visitors = units.withColumnRenamed("space", "home").join(roads, "home")
 
     def leveled(df: DataFrame) -> DataFrame:
-        sized = df.join(sizes, "space")
+        sized = _on_keys(df.join(sizes, "space"), "space", "t")
         keyed = TITLE.with_keys(sized, "t", blocking.level(F.col("members"))).drop("members")
         return _on_keys(keyed, "space", "_key")
 
@@ -158,21 +160,22 @@ def _links(units: DataFrame, matches: DataFrame, inner: DataFrame, kind: str, bl
     def unit(space: Column, t: Column) -> Column:
         return F.md5(F.concat_ws("\x01", F.lit(kind), space, t))
 
-    guest = leveled(visitors).withColumnRenamed("t", "t_a")
-    host = keyed_hosts.withColumnRenamed("t", "t_b")
+    first = {"t": "t_a", "_counts": "_counts_a"}
+    second = {"t": "t_b", "_counts": "_counts_b"}
     similar_guests = (
-        guest.join(host, ["space", "_key"])
+        leveled(visitors)
+        .withColumnsRenamed(first)
+        .join(keyed_hosts.withColumnsRenamed(second), ["space", "_key"])
         .filter(F.col("t_a") != F.col("t_b"))
-        .select("home", "space", "t_a", "t_b", "out_ok", "in_ok")
-    )
-    own = (
-        keyed_hosts.join(inner.select("space").distinct(), "space", "left_semi")
+        .drop("_key")
     )
+    own = keyed_hosts.join(inner.select("space").distinct(), "space", "left_semi")
     similar_own = (
-        own.withColumnRenamed("t", "t_a")
-        .join(own.withColumnRenamed("t", "t_b"), ["space", "_key"])
+        own.withColumnsRenamed(first)
+        .join(own.withColumnsRenamed(second), ["space", "_key"])
         .filter(F.col("t_a") < F.col("t_b"))
-        .select(F.col("space").alias("home"), "space", "t_a", "t_b", F.lit(True).alias("out_ok"), F.lit(True).alias("in_ok"))
+        .drop("_key")
+        .withColumns({"home": F.col("space"), "out_ok": F.lit(True), "in_ok": F.lit(True)})
     )
     similar = _both_ratios(similar_guests.unionByName(similar_own), "t_a", "t_b", TITLE)
     same = (
