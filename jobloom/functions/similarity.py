@@ -12,13 +12,6 @@ from pyspark.sql import types as T
 
 from jobloom.functions.text import let
 
-# Rare letters first.  Renaming letters by this table keeps strings distinct but
-# makes plain string order put grams of rare letters first, so the grams that
-# become join keys are the selective ones.  Any order would give the same result.
-_RARE_FIRST = "zqjxkvbwpygfmucdlhrsnioate "
-_RANKED = "abcdefghijklmnopqrstuvwxyz{"
-
-
 # Letters and digits dealt into buckets; strings whose bucket counts differ by more than
 # the slack cannot qualify.  Any partition would give the same result.
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -47,13 +40,11 @@ class Threshold:
 
     A ratio above the threshold leaves fewer than ``num/den`` of all characters
     unmatched.  Each unmatched character destroys at most ``q`` of the q-grams of
-    either string, so a string of length L shares at least ``(4 L - spare) / 10``
-    of its q-grams with every partner (the tests check this line against the exact
-    bound for all partner lengths).
+    either string, which bounds from below how many q-grams qualifying strings share.
     """
 
-    def __init__(self, num: int, den: int, q: int, spare: int):
-        self.num, self.den, self.q, self.spare = num, den, q, spare
+    def __init__(self, num: int, den: int, q: int):
+        self.num, self.den, self.q = num, den, q
 
     @property
     def value(self) -> float:
@@ -75,32 +66,50 @@ class Threshold:
         near = (F.abs(F.length(a) - F.length(b)) <= slack) & (apart <= slack)
         return near & (F.call_function("levenshtein", a, b, slack) >= 0)
 
+    def fewest_shared(self, length: int) -> int:
+        """Least number of common q-grams over every partner length the ratio allows."""
+        top = length * (self.den + self.num) // (self.den - self.num) + 1
+        fewest = length
+        for other in range(1, top + 1):
+            d = (self.num * (length + other) - 1) // self.den
+            d -= (d - length - other) % 2  # unmatched characters have the parity of the total
+            if d >= abs(length - other):
+                fewest = min(fewest, max(length, other) - self.q + 1 - self.q * d)
+        return max(fewest, 1)
+
     def shared_grams(self, length: Column) -> Column:
-        return F.greatest(F.floor((length * 4 - self.spare) / F.lit(10)).cast("int"), F.lit(1))
+        """:meth:`fewest_shared` from a constant table; longer strings use its last entry."""
+        table = F.split(F.lit(" ".join(str(self.fewest_shared(n)) for n in range(1, 201))), " ")
+        return F.element_at(table, F.least(length, F.lit(200))).cast("int")
 
-    def _grams(self, text: Column) -> Column:
-        """Distinct q-grams, rare letters first; empty for text shorter than ``q``."""
+    def grams(self, text: Column) -> Column:
+        """Distinct q-grams in text order of the grams; empty for text shorter than ``q``."""
         size = F.length(text) - (self.q - 1)
-        cut = let(
-            F.translate(text, _RARE_FIRST, _RANKED),
-            lambda r: F.transform(
-                F.sequence(F.lit(1), F.length(r) - (self.q - 1)),
-                lambda i: F.substring(r, i, F.lit(self.q)),
-            ),
+        cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(self.q)))
+        return F.when(size >= 1, F.sort_array(F.array_distinct(cut))).otherwise(
+            F.array().cast("array<string>")
         )
-        grams = F.sort_array(F.array_distinct(cut))
-        return F.when(size >= 1, grams).otherwise(F.array().cast("array<string>"))
 
-    def with_keys(self, df: DataFrame, text: str, level: Column, into: str = "_key") -> DataFrame:
+    def frequent_grams(self, df: DataFrame, text: str, top: int = 512) -> list[str]:
+        """At most ``top`` grams of the column, the most frequent last."""
+        counts = df.select(F.explode(self.grams(F.col(text))).alias("g")).groupBy("g").count()
+        rows = counts.orderBy(F.desc("count"), F.asc("g")).limit(top).collect()
+        return [r.g for r in reversed(rows)]
+
+    def with_keys(
+        self, df: DataFrame, text: str, level: Column, frequent: list[str], into: str = "_key"
+    ) -> DataFrame:
         """One row per join key of ``text``, with its letter counts in ``_counts``.
 
         If two sets share ``s`` elements, their ``|set| - s + k`` smallest elements
         under one common order share ``k`` of them, so rows meet on combinations of
         ``k`` grams.  ``level`` is the k of the row's block: crowded blocks ask for
         more grams at once, which keeps every key selective without losing a pair.
-        A text that need not share that many grams also meets on smaller k.
+        A text that need not share that many grams also meets on smaller k.  The
+        common order puts ``frequent`` grams last; it affects speed, not the result.
         """
         length = F.length(text)
+        late = F.split(F.lit("\x02".join(frequent)), "\x02")
 
         def keys(x: Column) -> Column:
             grams, level = x["grams"], x["level"]
@@ -114,37 +123,30 @@ class Threshold:
                 combined = let(prefix, lambda items: _combinations(items, k))
                 return F.when(emits, combined).otherwise(F.array().cast("array<string>"))
 
-            return F.concat(of_level(1), of_level(2), of_level(3))
+            return F.concat(*[of_level(k) for k in range(1, LEVELS + 1)])
 
-        staged = F.struct(self._grams(F.col(text)).alias("grams"), level.alias("level"))
+        ordered = let(
+            self.grams(F.col(text)),
+            lambda g: F.concat(F.array_except(g, late), F.array_intersect(late, g)),
+        )
+        staged = F.struct(ordered.alias("grams"), level.alias("level"))
         return df.withColumns({"_counts": letter_counts(F.col(text)), into: F.explode(let(staged, keys))})
 
 
+LEVELS = 4
+
+
 def _combinations(items: Column, k: int) -> Column:
     """All k-element combinations of an array of strings, each as one string."""
     if k == 1:
         return items
 
-    def following(i: Column) -> Column:
-        return F.slice(items, i + 2, F.size(items))
-
-    def pairs(head: Column, rest: Column) -> Column:
-        return F.transform(rest, lambda y: F.concat(head, F.lit("\x01"), y))
-
-    if k == 2:
-        return F.flatten(F.transform(items, lambda x, i: pairs(x, following(i))))
-    return F.flatten(
-        F.transform(
-            items,
-            lambda x, i: F.flatten(
-                F.transform(
-                    following(i),
-                    lambda y, j: pairs(F.concat(x, F.lit("\x01"), y), F.slice(items, i + j + 3, F.size(items))),
-                )
-            ),
-        )
-    )
+    def starting_with(x: Column, i: Column) -> Column:
+        following = F.slice(items, i + 2, F.size(items))
+        return F.transform(_combinations(following, k - 1), lambda y: F.concat(x, F.lit("\x01"), y))
+
+    return F.flatten(F.transform(items, starting_with))
 
 
-TITLE = Threshold(1, 10, q=3, spare=14)  # ratio > 0.9
-COMPANY = Threshold(3, 20, q=2, spare=8)  # ratio > 0.85
+TITLE = Threshold(1, 10, q=3)  # ratio > 0.9
+COMPANY = Threshold(3, 20, q=2)  # ratio > 0.85

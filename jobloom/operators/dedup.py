@@ -28,20 +28,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.similarity import COMPANY, TITLE, Threshold, block_ratio
-from jobloom.functions.text import company_base, company_key, date_key, deadline_key, title_key
+from jobloom.functions.text import company_base, company_key, date_key, deadline_key, let, title_key
 from jobloom.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
 class Blocking:
-    """Block sizes from which keys combine two or three grams.  Speed only, never the result."""
+    """Block sizes from which keys combine two, three or four grams.  Speed only, never the result."""
 
-    two_grams_from: int = 5_000
-    three_grams_from: int = 500_000
+    two_grams_from: int = 2_000
+    three_grams_from: int = 50_000
+    four_grams_from: int = 2_000_000
 
     def level(self, members: Column) -> Column:
         return (
-            F.when(members >= self.three_grams_from, 3)
+            F.when(members >= self.four_grams_from, 4)
+            .when(members >= self.three_grams_from, 3)
             .when(members >= self.two_grams_from, 2)
             .otherwise(1)
         )
@@ -94,9 +96,11 @@ def _both_ratios(pairs: DataFrame, a: str, b: str, threshold: Threshold) -> Data
 
 def similar_names(names: DataFrame, blocking: Blocking = DEFAULT_BLOCKING) -> DataFrame:
     """(a, b, ab, ba): distinct company keys of four characters or more, over 85 % alike."""
+    ensure_checkpoint_dir(names.sparkSession)
     named = names.filter(F.length("n") >= 4).select("n").distinct()
     level = blocking.level(F.lit(named.count()))
-    keyed = _on_keys(COMPANY.with_keys(_on_keys(named, "n"), "n", level), "_key")
+    frequent = COMPANY.frequent_grams(named, "n")
+    keyed = _on_keys(COMPANY.with_keys(_on_keys(named, "n"), "n", level, frequent), "_key").checkpoint()
     pairs = (
         keyed.withColumnsRenamed({"n": "a", "_counts": "_counts_a"})
         .join(keyed.withColumnsRenamed({"n": "b", "_counts": "_counts_b"}), "_key")
@@ -112,9 +116,13 @@ def contained_bases(bases: DataFrame) -> DataFrame:
     Every 4-gram of the part occurs in the whole, so the part waits under its
     rarest one and the whole visits each of its own.
     """
-    gram4 = Threshold(0, 1, q=4, spare=0)._grams
     distinct = bases.filter(F.col("b").isNotNull()).select("b").distinct()
-    parts = distinct.select(F.col("b").alias("a"), F.get(gram4(F.col("b")), F.lit(0)).alias("_key"))
+    gram4 = Threshold(0, 1, q=4).grams
+    late = F.split(F.lit("\x02".join(Threshold(0, 1, q=4).frequent_grams(distinct, "b"))), "\x02")
+    rarest = let(
+        gram4(F.col("b")), lambda g: F.get(F.concat(F.array_except(g, late), F.array_intersect(late, g)), F.lit(0))
+    )
+    parts = distinct.select(F.col("b").alias("a"), rarest.alias("_key"))
     wholes = distinct.select("b", F.explode(gram4(F.col("b"))).alias("_key"))
     return (
         parts.join(wholes, "_key")
@@ -126,7 +134,9 @@ def contained_bases(bases: DataFrame) -> DataFrame:
 # --- links between units ----------------------------------------------------
 
 
-def _links(units: DataFrame, matches: DataFrame, inner: DataFrame, kind: str, blocking: Blocking) -> DataFrame:
+def _links(
+    units: DataFrame, matches: DataFrame, inner: DataFrame, kind: str, blocking: Blocking, frequent: list[str]
+) -> DataFrame:
     """Directed links of one company relation: a newer posting of ``src`` duplicates ``dst``.
 
     ``units``: distinct (space, t); ``matches``: matching spaces with direction flags;
@@ -151,7 +161,7 @@ def _links(units: DataFrame, matches: DataFrame, inner: DataFrame, kind: str, bl
 
     def leveled(df: DataFrame) -> DataFrame:
         sized = _on_keys(df.join(sizes, "space"), "space", "t")
-        keyed = TITLE.with_keys(sized, "t", blocking.level(F.col("members"))).drop("members")
+        keyed = TITLE.with_keys(sized, "t", blocking.level(F.col("members")), frequent).drop("members")
         return _on_keys(keyed, "space", "_key")
 
     hosts = units.join(roads.select("space").union(inner.select("space")).distinct(), "space", "left_semi")
@@ -202,8 +212,9 @@ def unit_links(signatures: DataFrame, blocking: Blocking = DEFAULT_BLOCKING) ->
         .agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         .filter("lo <> hi OR lo = ''")
     )
-    names = _links(by_name, similar_names(signatures, blocking), all_names, "n", blocking)
-    bases = _links(by_base, contained_bases(signatures), mixed, "b", blocking)
+    frequent = TITLE.frequent_grams(signatures.select("t").distinct(), "t")
+    names = _links(by_name, similar_names(signatures, blocking), all_names, "n", blocking, frequent)
+    bases = _links(by_base, contained_bases(signatures), mixed, "b", blocking, frequent)
     return names.unionByName(bases)
 
 

@@ -1,6 +1,8 @@
 """One table of (function, input, result) per scalar group, run as one Spark job each."""
 
 import datetime as dt
+import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,16 +192,19 @@ def test_bare_title(spark):
 
 
 def test_gram_bound_is_sound():
-    """The line (4 L - spare) / 10 never exceeds the exact number of surely shared q-grams."""
+    """Random similar strings share at least the promised number of distinct q-grams."""
+    rnd = random.Random(3)
     for t in (TITLE, COMPANY):
-        for length in range(t.q, 400):
-            top = length * (t.den + t.num) // (t.den - t.num) + 1
-            exact = min(
-                max(length, other) - t.q + 1 - t.q * d
-                for other in range(1, top + 1)
-                for d in [(t.num * (length + other) - 1) // t.den]
-                # unmatched characters have the parity of the total length
-                for d in [d if d % 2 == (length + other) % 2 else d - 1]
-                if d >= abs(length - other)
-            )
-            assert exact >= max(1, (4 * length - t.spare) // 10), (t.q, length)
+        for _ in range(3000):
+            a = "".join(rnd.choice("abcde ") for _ in range(rnd.randrange(4, 40)))
+            b = list(a)
+            for _ in range(rnd.randrange(1, 5)):
+                at = rnd.randrange(len(b) + 1)
+                b[at:at + rnd.randrange(2)] = rnd.choice(["", "x", "a"])
+            b = "".join(b)
+            if not b or difflib.SequenceMatcher(None, a, b).ratio() <= 1 - t.num / t.den:
+                continue
+            grams = [[s[i:i + t.q] for i in range(len(s) - t.q + 1)] for s in (a, b)]
+            for g, s in zip(grams, (a, b)):
+                repeats = len(g) - len(set(g))
+                assert len(set(grams[0]) & set(grams[1])) >= t.fewest_shared(len(s)) - repeats
