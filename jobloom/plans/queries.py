@@ -19,7 +19,7 @@ from jobloom.plans import oracle as O
 from jobloom.plans.fixtures import AS_OF_SQL, as_of, job_postings, spread, table
 from jobloom.schema import enforce, load_rows, to_decimal
 from jobloom.sources.feeds import first_tier, json_envelope, rss_stubs
-from jobloom.sources.profiles import PROFILES, build_postings
+from jobloom.sources.profiles import PROFILES, SourceProfile, build_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -756,6 +756,20 @@ def page_details(spark, sf_dir):
     )
 
 
+_CARD = r"(?is)<p\b[^>]*>.*?</p\s*>"
+_CARD_BOARD = SourceProfile(
+    "paragraphs", "https://example.org", "", card=_CARD,
+    stub=lambda card, url: {"source_url": url, "title": H.text_of(card), "is_bold": F.contains(card, F.lit("<b>"))},
+)
+
+
+@query(f"""WITH c AS (SELECT url, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS card FROM (SELECT url, regexp_extract_all(html, {O.q(_CARD)}, 0) AS p FROM pages))
+SELECT url, CAST(pos AS INTEGER) AS pos, url AS source_url, {_sql_text('card')} AS title, contains(card, '<b>') AS is_bold, 'paragraphs' AS source FROM c WHERE {_sql_text('card')} <> ''""")
+def page_cards(spark, sf_dir):
+    p = spread(table(spark, sf_dir, "pages").select("url", "html"))
+    return pages.extract_cards(p, _CARD_BOARD)
+
+
 _PATH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)', 1)"
 
 
