@@ -308,7 +308,8 @@ def duplicate_leaders(active: DataFrame, blocking: Blocking = DEFAULT_BLOCKING)
         & F.col("k.b").eqNullSafe(F.col("v.b"))
         & (F.col("k.dl") == F.col("v.dl"))
     )
-    # only signatures that lost something take part, so unique postings are not shuffled again
+    # one verdict row per signature: a signature with very many copies makes one large
+    # partition on the row side only, which AQE splits
     return (
         rows.join(v, same)
         .filter(F.col("k.id") != F.col("v.leader.id"))
