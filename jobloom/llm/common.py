@@ -78,7 +78,7 @@ _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at a time, so that memory stays bounded whatever a batch of texts holds.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ from jobloom.llm.components import components
 #: Ratio of the sizes of a band: wide bands need more blocks, narrow ones put more sets in two bands.
 BAND = 1.4
 #: Texts of this many characters at most are hashed together, to bound memory.
-GROUP = 8 << 20
+GROUP = 2 << 20
 #: Ids up to this number are sent to every task (8 bytes each); more are joined by an exchange.
 SENT_IDS = 1 << 21
 

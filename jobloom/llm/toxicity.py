@@ -26,16 +26,20 @@ from jobloom.llm.common import crc_mod, stored
 SAMPLE = 8000
 #: Terms of the lexicons, at most, and the least share of toxic rows that hold one.
 TERMS = 3000
-LEAST_SHARE = 0.002
+LEAST_SHARE = 0.01
+#: Terms that a task counts before it passes them on.
+HELD_TERMS = 300_000
 #: Lengths of word beginnings.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 #: Rows on whose posteriors the classifier is trained, at most.
 ROWS = 20000
 DECISION = 0.3
+#: Votes that the silence of all voters is worth.
+SILENCE = 4
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Voters of each kind of term, and the voters on amounts.
-GROUPS = {0: 4, **{n: 2 for n in STEMS}}
+GROUPS = {0: 3, **{n: 2 for n in STEMS}}
 AMOUNTS = ("two terms", "three terms", "one in a hundred words")
 N_VOTERS = sum(GROUPS.values()) + len(AMOUNTS)
 
@@ -53,18 +57,29 @@ def _terms(words: list[str]) -> set[tuple[int, str]]:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with each term, by class."""
+    """Rows with each term, by class; sums are passed on whenever they fill up."""
+    counts = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        terms = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array([t[0] for t in terms], pa.int32()), pa.array([t[1] for t in terms], pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "term", "clean", "toxic"])
+
     for batch in batches:
-        counts = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic].update(_terms(words_of(text)))
-        terms = list(counts[0] | counts[1])
-        columns = [pa.array([t[0] for t in terms], pa.int32()), pa.array([t[1] for t in terms], pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)]
-        yield pa.RecordBatch.from_arrays(columns, names=["kind", "term", "clean", "toxic"])
+            if len(counts[0]) + len(counts[1]) > HELD_TERMS:
+                yield flush()
+    yield flush()
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, usable: Column) -> dict[tuple[int, str], float]:
-    """Typical terms of toxic texts with their log odds.  ``usable`` says which doc_ids may be learned from."""
+def lexicon(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[dict[tuple[int, str], float], DataFrame]:
+    """Typical terms of toxic texts with their log odds, and the labelled sample.
+
+    ``usable`` says which doc_ids may be learned from.
+    """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     halves = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1)]
     sample = stored(halves[0].unionByName(halves[1]), "toxic-sample")  # at most 2 * SAMPLE rows
@@ -72,12 +87,12 @@ def lexicon(docs: DataFrame, labels: DataFrame, usable: Column) -> dict[tuple[in
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_toxic or not n_clean:
-        return {}
+        return {}, sample
     sums = rows.mapInArrow(_count_terms, "kind int, term string, clean long, toxic long").groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.1) / (n_toxic + 1)) - F.log((F.col("clean") + 0.1) / (n_clean + 1))
-    typical = sums.where(F.col("toxic") >= max(3, math.ceil(LEAST_SHARE * n_toxic))).select("kind", "term", odds.alias("odds")).where("odds > 3")
+    typical = sums.where(F.col("toxic") >= max(3, math.ceil(LEAST_SHARE * n_toxic))).select("kind", "term", odds.alias("odds")).where("odds > 4")
     best = typical.orderBy(F.desc("odds"), "kind", "term").limit(TERMS)
-    return {(r["kind"], r["term"]): r["odds"] for r in best.collect()}
+    return {(r["kind"], r["term"]): r["odds"] for r in best.collect()}, sample
 
 
 class Voters:
@@ -87,8 +102,8 @@ class Voters:
         self.groups: dict[tuple[int, str], int] = {}
         base = 0
         for kind, n in GROUPS.items():
-            # neighbours in the list of a kind share a voter, so inflected forms vote together
-            own = sorted(t for t in terms if t[0] == kind)
+            # terms of about the same strength share a voter
+            own = sorted((t for t in terms if t[0] == kind), key=lambda t: (-terms[t], t))
             for i, t in enumerate(own):
                 self.groups[t] = base + i * n // len(own)
             base += n
@@ -116,29 +131,36 @@ class Voters:
 
 
 class LabelModel:
-    """Posteriors of vote combinations, with voters' accuracies and correlations."""
+    """Posteriors of vote combinations, with voters' accuracies and correlations.
+
+    ``counts`` has all rows by vote combination, ``known`` the labelled sample by combination and
+    class.  Labelled rows keep their class; all others together weigh as much as these.
+    """
 
-    def __init__(self, counts: dict[int, int], prior: float, rounds: int = 60):
-        codes = np.array(sorted(counts), dtype=np.int64)
-        n = np.array([counts[int(c)] for c in codes], float)
+    def __init__(self, counts: dict[int, int], known: dict[tuple[int, int], int], prior: float, rounds: int = 60):
+        codes = np.array(sorted({*counts, *(c for c, _ in known)}), dtype=np.int64)
+        n = np.array([counts.get(int(c), 0) for c in codes], float)
+        fixed = [np.array([known.get((int(c), k), 0) for c in codes], float) for k in (0, 1)]
+        # the sample holds as many rows of either class as it can; the prior puts that right
+        fixed = [f / max(f.sum(), 1) * share for f, share in zip(fixed, (1 - prior, prior), strict=True)]
+        n = n / max(n.sum(), 1)
         v = ((codes[:, None] >> np.arange(N_VOTERS)) & 1).astype(float)
-        post = np.clip(v.mean(axis=1) * 3, 0.01, 0.99) if len(codes) else np.zeros(0)
-        weight = np.ones(N_VOTERS)
-        yes = no = np.full(N_VOTERS, 0.5)
-        for _ in range(rounds if len(codes) else 0):
-            pos, neg = post * n, (1 - post) * n
-            yes = (pos @ v + 1) / (pos.sum() + 2)
-            no = (neg @ v + 0.1) / (neg.sum() + 2)
+        post = (fixed[1] + 1e-9 * prior) / (fixed[0] + fixed[1] + 1e-9)
+        for _ in range(rounds):
+            pos, neg = post * n + fixed[1], (1 - post) * n + fixed[0]
+            yes = (pos @ v + 1e-4) / (pos.sum() + 2e-4)
+            no = (neg @ v + 1e-5) / (neg.sum() + 2e-4)
             # voters that agree more than their accuracies explain share one say
             shared = np.zeros((N_VOTERS, N_VOTERS))
             for w, p in ((pos, yes), (neg, no)):
                 off = v - p
-                cov = (off * w[:, None]).T @ off / max(w.sum(), 1)
-                spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
-                shared += np.clip(cov / np.maximum(spread, 1e-9), 0, 1) * (w.sum() / n.sum())
+                cov = (off * w[:, None]).T @ off / w.sum()
+                shared += np.clip(cov / np.sqrt(np.outer(p * (1 - p), p * (1 - p))), 0, 1) * (w.sum() / (pos.sum() + neg.sum()))
             np.fill_diagonal(shared, 0)
             weight = 1 / (1 + shared.sum(axis=1))
-            odds = math.log(prior / (1 - prior)) + v @ (weight * np.log(yes / no)) + (1 - v) @ (weight * np.log((1 - yes) / (1 - no)))
+            # a voter that stays silent mostly abstains: all silent voters together count as SILENCE votes
+            silent = SILENCE * ((1 - v) @ np.log((1 - yes) / (1 - no))) / N_VOTERS
+            odds = math.log(prior / (1 - prior)) + v @ (weight * np.log(yes / no)) + silent
             post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         self.accuracy, self.weight = list(zip(yes.tolist(), no.tolist(), strict=True)), weight
         self.posterior = dict(zip(codes.tolist(), post.tolist(), strict=True))
@@ -195,18 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tup
     """
     usable = crc_mod(F.col("doc_id"), 4) != 2 if usable is None else usable
     docs = docs.select("doc_id", "text")
-    voters = Voters(lexicon(docs, labels, usable))
+    terms, sample = lexicon(docs, labels, usable)
+    voters = Voters(terms)
     kind = docs.schema["doc_id"].dataType.simpleString()
     voted = stored(docs.mapInArrow(lambda it: _vote(it, voters), f"doc_id {kind}, bits long, x array<double>"), "toxic-votes")
     if not voters.groups:
         return Scorer(voters, np.zeros(0)), voted
     counts = {r["bits"]: r["count"] for r in voted.groupBy("bits").count().collect()}  # at most 2^N_VOTERS rows
     share = labels.where("toxic in (0, 1)").where(usable).agg(F.avg("toxic")).first()[0] or 0.0
-    model = LabelModel(counts, min(max(share, 0.01), 0.5))
+    known = voted.join(F.broadcast(sample), "doc_id").groupBy("bits", "toxic").count()
+    model = LabelModel(counts, {(r["bits"], r["toxic"]): r["count"] for r in known.collect()}, min(max(share, 0.01), 0.5))
     # rows of one vote combination share a posterior; a bounded sample by hash of the features
-    sample = voted.groupBy("x", "bits").count().orderBy(F.xxhash64("x"), "bits").limit(ROWS).collect()
-    x = np.array([r["x"] for r in sample]).reshape(len(sample), N_VOTERS)
-    y = np.array([model.posterior[r["bits"]] for r in sample])
+    rows = voted.groupBy("x", "bits").count().orderBy(F.xxhash64("x"), "bits").limit(ROWS).collect()
+    x = np.array([r["x"] for r in rows]).reshape(len(rows), N_VOTERS)
+    y = np.array([model.posterior[r["bits"]] for r in rows])
     return Scorer(voters, classifier(x, y) if len(x) else np.zeros(0)), voted
 
 
