@@ -31,7 +31,7 @@ LEAST_SHARE = 0.01
 HELD_TERMS = 300_000
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6, 7)
-#: Rows on whose posteriors the classifier is trained, at most.
+#: Distinct feature rows on whose posteriors the classifier is trained, at most.
 ROWS = 20000
 DECISION = 0.3
 #: Votes that the silence of all voters is worth.
@@ -166,15 +166,21 @@ class LabelModel:
         self.posterior = dict(zip(codes.tolist(), post.tolist(), strict=True))
 
 
-def classifier(x: np.ndarray, y: np.ndarray, steps: int = 600) -> np.ndarray:
-    """Weights (bias first) of a logistic regression on soft labels."""
+def classifier(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 600) -> np.ndarray:
+    """Weights (bias first) of a logistic regression on soft labels ``y`` of rows that occur ``n`` times.
+
+    Both classes weigh as much in the fit; the bias is then set back to their true shares.
+    """
     x = np.column_stack([np.ones(len(x)), x])
+    toxic, clean = float((n * y).sum()), float((n * (1 - y)).sum())
+    up, down = n * y / max(toxic, 1e-9) / 2, n * (1 - y) / max(clean, 1e-9) / 2
     w = np.zeros(x.shape[1])
     speed = np.zeros_like(w)
     for _ in range(steps):
-        miss = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y
-        speed = 0.9 * speed + x.T @ miss / len(x) + 1e-4 * w
-        w = w - 0.5 * speed
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        speed = 0.9 * speed + x.T @ (p * (up + down) - up) + 1e-4 * w
+        w = w - 0.2 * speed
+    w[0] += math.log(max(toxic, 1e-9) / max(clean, 1e-9))
     return w
 
 
@@ -227,11 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tup
     share = labels.where("toxic in (0, 1)").where(usable).agg(F.avg("toxic")).first()[0] or 0.0
     known = voted.join(F.broadcast(sample), "doc_id").groupBy("bits", "toxic").count()
     model = LabelModel(counts, {(r["bits"], r["toxic"]): r["count"] for r in known.collect()}, min(max(share, 0.01), 0.5))
-    # rows of one vote combination share a posterior; a bounded sample by hash of the features
-    rows = voted.groupBy("x", "bits").count().orderBy(F.xxhash64("x"), "bits").limit(ROWS).collect()
+    # rows of one vote combination share a posterior; the most frequent feature rows, with their counts
+    rows = voted.groupBy("x", "bits").count().orderBy(F.desc("count"), F.xxhash64("x"), "bits").limit(ROWS).collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), N_VOTERS)
     y = np.array([model.posterior[r["bits"]] for r in rows])
-    return Scorer(voters, classifier(x, y) if len(x) else np.zeros(0)), voted
+    n = np.array([r["count"] for r in rows], float)
+    return Scorer(voters, classifier(x, y, n) if len(x) else np.zeros(0)), voted
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
