@@ -12,9 +12,11 @@ unlike pairs, and the shingles themselves decide.
 Blocks with at most one shingle would make crowded keys of common passages.  A set has some more
 blocks than d + 1, so it may leave out that many sparse ones without losing a partner.
 
-The result is components, so no group is listed pair by pair: a key's members are compared with
-its first member, then, where a key still holds several components, with two more leaders picked
-by hash, and only what is then still apart is compared across components.
+The result is components, so no group is listed pair by pair: every key has a leader, and a set is
+compared with the one leader that it shares most keys with.  Leaders are the smallest ids first;
+then, where a key still holds several components, the sets with most company, then some picked
+by hash.  Only sets that share a key and are then still apart are compared across components, by
+their sketches inside the join.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from jobloom.llm.components import components
 
 #: Ratio of the sizes of a band: wide bands need more blocks, narrow ones put more sets in two bands.
 BAND = 1.4
+#: Bits per shingle of the sketch that is compared first, and of the one that is compared if that allows a pair.
+SKETCHES = (2, 16)
 #: Texts of this many characters at most are hashed together, to bound memory.
 GROUP = 2 << 20
 #: Ids up to this number are sent to every task (8 bytes each); more are joined by an exchange.
@@ -104,9 +108,9 @@ def block_keys(sets: np.ndarray, percent: int, place: dict) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
-def parity_bits(sets: np.ndarray) -> np.ndarray:
-    """A sketch of parity bits: every shingle flips one.  Wider sets have wider sketches."""
-    width = 1 << max(6, min(24, int(2 * _band(len(sets))[1]).bit_length()))
+def parity_bits(sets: np.ndarray, factor: int) -> np.ndarray:
+    """A sketch of parity bits, ``factor`` or more for each shingle of the band: every shingle flips one."""
+    width = 1 << max(6, int(factor * _band(len(sets))[1]).bit_length())
     with np.errstate(over="ignore"):
         at = (mixed(sets * _K[1]) & np.uint64(width - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1).view(np.int64)
@@ -160,8 +164,9 @@ def _members(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     for batch in batches:
         for start, hashes, bounds in _groups(batch):
             sets = [shingles(hashes[a:b], width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity_bits(s) if len(s) else None for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), *columns], names=["doc_id", "members", "bits"])
+            columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            columns += [pa.array([parity_bits(s, f) if len(s) else None for s in sets], pa.list_(pa.int64())) for f in SKETCHES]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), *columns], names=["doc_id", "members", "bits", "wide"])
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -194,34 +199,43 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     ids = stored(shared.select("doc_id").distinct(), "parity-ids")
     sides = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    members = docs.join(sides, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, width), "doc_id long, members array<long>, bits array<long>")
+    members = docs.join(sides, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, width), "doc_id long, members array<long>, bits array<long>, wide array<long>")
     members = stored(members, "parity-members")
 
+    # how much company a set has: the middle of a group has most
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    company = stored(shared.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("company")), "parity-company")
+    shared = shared.join(company, "doc_id")
+
     links = linked = None
     asked = None
     for step in range(4):
-        labelled = shared if linked is None else shared.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         if linked is None:
-            labelled = labelled.withColumn("label", F.col("doc_id"))
-        spread = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(step)), "doc_id", "label")).alias("pick"), F.min(F.struct("doc_id", "label")).alias("first"))
-        spread = spread.where("low != high")
+            labelled = shared.withColumn("label", F.col("doc_id"))
+        else:
+            labelled = shared.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+        order = (F.struct("doc_id", "label"), F.struct(-F.col("company"), "doc_id", "label"), F.struct(F.xxhash64("doc_id"), "doc_id", "label"))[min(step, 2)]
+        spread = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("leader")).where("low != high")
         if step < 3:
-            leader = F.col("first") if step == 0 else F.struct(F.col("pick.doc_id"), F.col("pick.label"))
-            pairs = labelled.join(spread.select("key", leader.alias("leader")), "key").where("label != leader.label")
-            pairs = pairs.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
+            # a member is compared with one leader: the one with which it shares most keys
+            pairs = labelled.join(spread.select("key", "leader"), "key").where("label != leader.label")
+            pairs = pairs.groupBy("doc_id", F.col("leader.doc_id").alias("leader")).agg(F.count(F.lit(1)).alias("keys"))
+            pairs = pairs.select("doc_id", "leader", "keys", F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+            if asked is not None:
+                pairs = pairs.join(asked, ["a", "b"], "left_anti")
+            pairs = pairs.groupBy("doc_id").agg(F.max(F.struct("keys", -F.col("leader"), "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         else:
             apart = labelled.join(spread.select("key"), "key", "left_semi")
-            apart = apart.join(members.select("doc_id", F.size("members").alias("n"), "bits"), "doc_id")
-            x, y = (apart.select("key", *(F.col(c).alias(c + side) for c in ("doc_id", "label", "n", "bits"))) for side in "ab")
-            may = _may_be_similar("na", "nb", "bitsa", "bitsb", percent)
+            apart = apart.join(members.select("doc_id", F.size("members").alias("n"), "bits", "wide"), "doc_id")
+            x, y = (apart.select("key", *(F.col(c).alias(c + side) for c in ("doc_id", "label", "n", "bits", "wide"))) for side in "ab")
+            may = _may_be_similar("a", "b", percent)
             pairs = x.join(y, (x["key"] == y["key"]) & (F.col("labela") < F.col("labelb")) & may)
-            pairs = pairs.select(F.least("doc_ida", "doc_idb").alias("a"), F.greatest("doc_ida", "doc_idb").alias("b"))
-        pairs = pairs.distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+            pairs = pairs.select(F.least("doc_ida", "doc_idb").alias("a"), F.greatest("doc_ida", "doc_idb").alias("b")).distinct()
+            if asked is not None:
+                pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"parity-pairs-{step}")
         if not pairs.head(1):
-            break
+            continue
         asked = pairs if asked is None else asked.unionByName(pairs)
         new = stored(_verified(pairs, members, percent), f"parity-links-{step}")
         links = new if links is None else links.unionByName(new)
@@ -250,22 +264,25 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(docs.columns)
 
 
-def _may_be_similar(na: str, nb: str, ba: str, bb: str, percent: int):
-    """False only where sizes or sketches rule a pair out.
+def _may_be_similar(a: str, b: str, percent: int):
+    """False only where sizes or sketches rule a pair out; columns n, bits and wide end in ``a`` and ``b``.
 
     J >= p / 100 means |A xor B| * (100 + p) <= (100 - p) * (|A| + |B|); sketches of different
     widths say nothing.
     """
-    differ = F.aggregate(F.zip_with(ba, bb, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    close = (F.size(ba) != F.size(bb)) | (differ * (100 + percent) <= (100 - percent) * (F.col(na) + F.col(nb)))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & close
+    may = 100 * F.least("n" + a, "n" + b) >= percent * F.greatest("n" + a, "n" + b)
+    for name in ("bits", "wide"):
+        x, y = name + a, name + b
+        differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+        may = may & ((F.size(x) != F.size(y)) | (differ * (100 + percent) <= (100 - percent) * (F.col("n" + a) + F.col("n" + b))))
+    return may
 
 
 def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar: sizes and sketches first, then the shingles."""
-    size = members.select("doc_id", F.size("members").alias("n"), "bits")
-    a, b = (size.select(F.col("doc_id").alias(s), F.col("n").alias("n" + s), F.col("bits").alias("b" + s)) for s in "ab")
-    some = pairs.join(a, "a").join(b, "b").where(_may_be_similar("na", "nb", "ba", "bb", percent)).select("a", "b")
+    size = members.select("doc_id", F.size("members").alias("n"), "bits", "wide")
+    a, b = (size.select(F.col("doc_id").alias(s), *(F.col(c).alias(c + s) for c in ("n", "bits", "wide"))) for s in "ab")
+    some = pairs.join(a, "a").join(b, "b").where(_may_be_similar("a", "b", percent)).select("a", "b")
     a, b = (members.select(F.col("doc_id").alias(s), F.col("members").alias("m" + s)) for s in "ab")
     both = F.size(F.array_intersect("ma", "mb"))
     full = some.join(a, "a").join(b, "b")
