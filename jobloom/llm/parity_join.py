@@ -264,15 +264,22 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(docs.columns)
 
 
+def _folded(x: str, y: str):
+    """Sketch ``x`` in the width of ``y`` if that is half of its own: bits that would have met are added."""
+    half = (F.size(x) / 2).cast("int")
+    halves = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+    return F.when(F.size(x) == 2 * F.size(y), halves).otherwise(F.col(x))
+
+
 def _may_be_similar(a: str, b: str, percent: int):
     """False only where sizes or sketches rule a pair out; columns n, bits and wide end in ``a`` and ``b``.
 
-    J >= p / 100 means |A xor B| * (100 + p) <= (100 - p) * (|A| + |B|); sketches of different
-    widths say nothing.
+    J >= p / 100 means |A xor B| * (100 + p) <= (100 - p) * (|A| + |B|).  A sketch of twice the
+    width is folded to that of the other; sketches that differ more say nothing.
     """
     may = 100 * F.least("n" + a, "n" + b) >= percent * F.greatest("n" + a, "n" + b)
     for name in ("bits", "wide"):
-        x, y = name + a, name + b
+        x, y = _folded(name + a, name + b), _folded(name + b, name + a)
         differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
         may = may & ((F.size(x) != F.size(y)) | (differ * (100 + percent) <= (100 - percent) * (F.col("n" + a) + F.col("n" + b))))
     return may
