@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import stored
@@ -240,19 +240,37 @@ def _links_of(entries: DataFrame, t: float) -> DataFrame:
     turned = stored(turned, "ego-turned")
     # the grid order, cut into blocks: cells are counted, long runs of one cell are cut by hash
     per_cell = turned.groupBy("cells").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("cells").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_cell.select("cells", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+    # running sums inside ranges of cells, and over the ranges, of which there are as many as partitions
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_cell = stored(per_cell.repartitionByRange(ranges, "cells").withColumn("range", F.spark_partition_id()), "ego-cells")
+    inside = Window.partitionBy("range").orderBy("cells").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_cell.groupBy("range").agg(F.sum("n").alias("_sum")).select("range", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_offset"))
+    starts = per_cell.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, "range").select("cells", "n", (F.col("_inside") + F.col("_offset")).alias("start"))
     placed = turned.join(starts, "cells")
     within = F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) * F.col("n") / (1 << 20))
     placed = stored(placed.select("vec_id", "copies", "turned", "cells", F.floor((F.col("start") + within) / BLOCK).cast("int").alias("block")), "ego-blocks")
     boxes = placed.select("block", F.posexplode("turned").alias("axis", "v")).where(F.col("axis") < 16)
     boxes = boxes.groupBy("block", "axis").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).groupBy("block")
     boxes = stored(boxes.agg(F.array_sort(F.collect_list(F.struct("axis", "lo", "hi"))).alias("box")), "ego-boxes")
-    a, b = boxes.select(F.col("block").alias("p"), F.col("box").alias("x")), boxes.select(F.col("block").alias("q"), F.col("box").alias("y"))
+    # boxes that are near meet in a cell of the two leading axes; the first of their common cells names the pair
+    reach = math.sqrt(side * side + MARGIN)
+
+    def cells_of(name: str, by: float) -> list[Column]:
+        axes_ = [F.get(F.col("box"), axis) for axis in (0, 1)]
+        ends = [(F.coalesce(a["lo"], F.lit(0.0)) - by, F.coalesce(a["hi"], F.lit(0.0)) + by) for a in axes_]
+        return [F.floor(v / side).cast("int").alias(f"{name}{axis}{end}") for axis, pair in enumerate(ends) for end, v in zip("lh", pair, strict=True)]
+
+    sides = []
+    for name, box, by in (("p", "x", 0.0), ("q", "y", reach)):
+        some = boxes.select(F.col("block").alias(name), F.col("box").alias(box), *cells_of(name, by))
+        some = some.withColumn("c0", F.explode(F.sequence(f"{name}0l", f"{name}0h"))).withColumn("c1", F.explode(F.sequence(f"{name}1l", f"{name}1h")))
+        sides.append(some)
     gap = F.zip_with("x", "y", lambda u, v: F.greatest(F.lit(0.0), u["lo"] - v["hi"], v["lo"] - u["hi"]))
     near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= side * side + MARGIN
-    # blocks, not vectors: (rows / BLOCK)^2 / 2 pairs at most, each with two boxes
-    pairs = a.join(b, (F.col("p") <= F.col("q")) & near).select("p", "q")
+    first = (F.col("c0") == F.greatest("p0l", "q0l")) & (F.col("c1") == F.greatest("p1l", "q1l"))
+    # blocks, not vectors, and each pair with two boxes
+    pairs = sides[0].join(sides[1], ["c0", "c1"]).where((F.col("p") <= F.col("q")) & first & near).select("p", "q")
     pairs = stored(pairs, "ego-pairs")
     wanted = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
     n = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
