@@ -24,6 +24,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The setting by which shuffle files go when the execution that wrote them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the tables written by ``stored`` in this process, in order.
 _FOLDERS: list[str] = []
 
@@ -43,9 +45,17 @@ def delete_stored(folders: list[str]) -> None:
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The frame as a written table: lineage ends there, and a lost executor costs nothing."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    """The frame as a written table: lineage ends there, and a lost executor costs nothing.
+
+    Once it is written nobody reads the shuffle files behind it, so Spark is told to remove them.
+    """
+    path, conf = shared_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
     _FOLDERS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -213,7 +213,11 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if linked is None:
             labelled = shared.withColumn("label", F.col("doc_id"))
         else:
-            labelled = shared.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+            labelled = _labelled(shared, linked)
+            # components only grow, so a key that lies within one is done with
+            apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+            shared = stored(labelled.join(apart, "key", "left_semi").drop("label"), f"parity-apart-{step}")
+            labelled = _labelled(shared, linked)
         order = (F.struct("doc_id", "label"), F.struct(-F.col("company"), "doc_id", "label"), F.struct(F.xxhash64("doc_id"), "doc_id", "label"))[min(step, 2)]
         spread = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("leader")).where("low != high")
         if step < 3:
@@ -249,6 +253,12 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return placed.unionByName(rest)
 
 
+def _labelled(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of keys with the component that they have so far."""
+    own = shared.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return own.withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, with all their columns.
 
