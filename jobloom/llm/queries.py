@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import attention_lm, ego_join, licenses, mixing, parity_join, pii, sharding, toxicity, warc, winnow
+from jobloom.llm import attention_lm, ego_join, fim, licenses, mixing, parity_join, pii, run_index, sharding, toxicity, value_codes, warc, winnow
 from jobloom.llm.common import shared_folder, table
 
 SHARDS = 40
@@ -55,9 +55,27 @@ def op10_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op11_fim_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents"))
+    digests = (F.sha2(c.cast("binary"), 256) for c in (F.col("output"), fim.restored(F.col("output"), F.col("form"))))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(d.alias(a) for d, a in zip(digests, ("output_sha256", "restored_sha256"), strict=True)))
+
+
+def op12_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_index.remove_repeats(table(spark, sf_dir, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    return rows.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_value_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = value_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(value_codes.digest(books)))
+
+
 _OPERATORS = (
     op1_bounded_ring, op2_weak_pii, op3_winnowing, op4_warc_shards, op5_label_model,
     op6_ego_join, op7_parity_sketch, op8_sentence_rules, op9_attention_lm, op10_fair_queueing,
+    op11_fim_arrow, op12_run_index, op13_value_codes,
 )
 
 
@@ -132,6 +150,47 @@ FROM c LEFT JOIN kept USING (doc_id, upto, u, s)
 """
 
 
+_HEX = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT) AS h{i + 1}" for i in range(4))
+
+FIM = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ e AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {_HEX} FROM d),
+ c AS (SELECT doc_id, t, n, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                   WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+ p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Every part beside every entry of its codebook, round by round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+ near{r} AS (SELECT vec_id, p, min(struct_pack(error := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS best, any_value(x) AS x
+             FROM parts JOIN book{r} USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""
+ moved{r} AS (SELECT p, e, list(m ORDER BY d) AS c FROM (
+                SELECT p, best.e AS e, d, CAST(floor(sum(x[d]) / count(*)) AS BIGINT) AS m FROM near{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS d) GROUP BY ALL) GROUP BY p, e),
+ book{r + 1} AS (SELECT p, e, coalesce(moved{r}.c, book{r}.c) AS c FROM book{r} LEFT JOIN moved{r} USING (p, e))""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+ parts AS (SELECT vec_id, p, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS p)),
+ firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < 64),
+ book0 AS (SELECT p, e, x AS c FROM parts JOIN firsts USING (vec_id)),{",".join(steps)},
+ codes AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.error) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id),
+ labelled AS (SELECT vec_id, label, code, error FROM codes JOIN v USING (vec_id)),
+ books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM labelled, books
+"""
+
+
 def _license_sql() -> str:
     """The same tables of sentences and rules, matched by list functions."""
     case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in licenses.SENTENCES.items())
@@ -151,5 +210,5 @@ def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against brute force."""
     return {
         "op3_winnowing": WINNOWING, "op6_ego_join": EGO, "op7_parity_sketch": PARITY,
-        "op8_sentence_rules": _license_sql(), "op10_fair_queueing": MIX,
+        "op8_sentence_rules": _license_sql(), "op10_fair_queueing": MIX, "op11_fim_arrow": FIM, "op13_value_codes": _codes_sql(),
     }
