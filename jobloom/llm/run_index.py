@@ -158,7 +158,8 @@ def build(texts: list[bytes]) -> RunIndex:
     ranks, reach = [], 7
     ended = left < reach
     while True:
-        order = np.argsort(key, kind="stable")
+        # suffixes that have ended are ordered by place, which the first round settles
+        order = np.argsort(key, kind="stable" if reach == 7 else None)
         sorted_key = key[order]
         new = np.concatenate(([False], (sorted_key[1:] != sorted_key[:-1]) | ended[order[1:]]))
         rank = np.empty(n, np.int64)
@@ -227,10 +228,10 @@ def earliest(texts: list[bytes], order: np.ndarray, step: int, length: int) -> l
     return np.split(least[root[places]], offset[1:-1])
 
 
-def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) of every run of true values."""
+def _runs(marked: np.ndarray) -> np.ndarray:
+    """First and last of every run of true values, as rows."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marked.astype(np.int8), [0]))))
-    return [(int(a), int(b) - 1) for a, b in edges.reshape(-1, 2)]
+    return edges.reshape(-1, 2) - (0, 1)
 
 
 # ---- tasks
@@ -262,7 +263,11 @@ def _rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         docs = batch.column("doc").to_numpy()
         for start, raws in _texts(batch):
             c = contexts(raws, length)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.anchor.view(np.int64), c.digest.view(np.int64), docs[start + c.row])], schema=_ROWS)
+            # one row for all places of a context in a document
+            order = np.lexsort((c.digest, c.row))
+            row, digest = c.row[order], c.digest[order]
+            one = order[np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.anchor[one].view(np.int64), c.digest[one].view(np.int64), docs[start + c.row[one]])], schema=_ROWS)
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -311,7 +316,7 @@ def _marked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     def found(rows: list[tuple]) -> pa.RecordBatch:
         docs = np.array([r[2] for r in rows], np.int64)
         low = earliest([r[4] for r in rows], docs, 0, length)
-        marks = [(r[2], r[1], r[3] + a, r[3] + b) for r, e in zip(rows, low, strict=True) for a, b in _runs(e < r[2])]
+        marks = [(r[2], r[1], r[3] + a, r[3] + b) for r, e in zip(rows, low, strict=True) for a, b in _runs(e < r[2]).tolist()]
         return _batch(marks, _MARKS)
 
     for batch in batches:
@@ -324,13 +329,13 @@ def _marked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield found(held)
 
 
-def _own(raw: bytes, c: Contexts, own: slice, length: int) -> list[tuple[int, int]]:
-    """(first, last) strings of a text that start earlier in it, too."""
+def _own(raw: bytes, c: Contexts, own: slice, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last strings of the runs of a text's strings that start earlier in it, too."""
     digest, anchor, first, last = (x[own] for x in (c.digest, c.anchor, c.first, c.last))
     order = np.argsort(digest, kind="stable")
-    again = np.concatenate(([False], digest[order[1:]] == digest[order[:-1]]))
-    spans = [(int(first[k]), int(last[k])) for k in order[again]]
+    again = np.concatenate((np.zeros(min(1, len(order)), bool), digest[order[1:]] == digest[order[:-1]]))
     once = np.sort(order[~again])
+    low, high = [first[order[again]]], [last[order[again]]]
     _, group, count = np.unique(anchor[once], return_inverse=True, return_counts=True)
     some = once[count[group] > 1]
     some = some[np.argsort(anchor[some], kind="stable")]
@@ -338,11 +343,25 @@ def _own(raw: bytes, c: Contexts, own: slice, length: int) -> list[tuple[int, in
         # whole anchors, about as many contexts as an index takes
         stop = int(np.searchsorted(anchor[some], anchor[some[min(LIMIT, len(some)) - 1]], "right"))
         texts = [raw[first[k] : last[k] + length] for k in some[:stop]]
-        low = earliest(texts, first[some[:stop]], 1, length)
-        for k, e in zip(some[:stop], low, strict=True):
-            spans += [(int(first[k]) + a, int(first[k]) + b) for a, b in _runs(e < first[k] + np.arange(len(e)))]
+        least = earliest(texts, first[some[:stop]], 1, length)
+        for k, e in zip(some[:stop], least, strict=True):
+            runs = _runs(e < first[k] + np.arange(len(e)))
+            low.append(first[k] + runs[:, 0])
+            high.append(first[k] + runs[:, 1])
         some = some[stop:]
-    return spans
+    return np.concatenate(low), np.concatenate(high)
+
+
+def _asked(marks: pa.StructArray, c: Contexts, own: slice) -> tuple[np.ndarray, np.ndarray]:
+    """First and last strings of the marks, at all places of their contexts in a text."""
+    order = np.argsort(c.digest[own].view(np.int64), kind="stable")
+    digests = c.digest[own].view(np.int64)[order]
+    digest, low, high = (marks.field(f).to_numpy() for f in ("digest", "low", "high"))
+    left = np.searchsorted(digests, digest)
+    count = np.searchsorted(digests, digest, "right") - left
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    k = order[np.repeat(left, count) + inside]
+    return c.first[own][k] + np.repeat(low, count), np.minimum(c.first[own][k] + np.repeat(high, count), c.last[own][k])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -355,21 +374,15 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             removed, kept = [], []
             for i, raw in enumerate(raws):
                 own = slice(bounds[i], bounds[i + 1])
-                spans = _own(raw, c, own, length) if bounds[i] < bounds[i + 1] else []
+                spans = [_own(raw, c, own, length)] if bounds[i] < bounds[i + 1] else []
                 marks = batch.column("marks")[start + i]
                 if marks.is_valid:
-                    order = np.argsort(c.digest[own].view(np.int64), kind="stable")
-                    digests = c.digest[own].view(np.int64)[order]
-                    m = marks.values
-                    asked, low, high = (m.field(f).to_numpy() for f in ("digest", "low", "high"))
-                    left, right = np.searchsorted(digests, asked), np.searchsorted(digests, asked, "right")
-                    for a, b, lo, hi in zip(left, right, low, high, strict=True):
-                        spans += [(int(f) + int(lo), min(int(f) + int(hi), int(z))) for f, z in zip(c.first[own][order[a:b]], c.last[own][order[a:b]], strict=True)]
-                edge = np.zeros(len(raw) + 1, np.int32)
-                for a, b in spans:
-                    edge[a] += 1
-                    edge[b + length] -= 1
-                runs = _runs(np.cumsum(edge[:-1]) > 0)
+                    spans.append(_asked(marks.values, c, own))
+                edge = np.zeros(len(raw) + 1, np.int64)
+                for low, high in spans:
+                    np.add.at(edge, low, 1)
+                    np.subtract.at(edge, high + length, 1)
+                runs = _runs(np.cumsum(edge[:-1]) > 0).tolist()
                 removed.append([{"start": a, "end": b + 1} for a, b in runs])
                 keep, at = [], 0
                 for a, b in runs:
