@@ -76,19 +76,21 @@ def _packed(raw: bytes) -> bytes:
     return squeeze.compress(raw) + squeeze.flush()
 
 
-def linked(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Adds ``_digest`` and ``refers_to`` to pages (page_id, url, html).
+def _digest():
+    return F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("_digest")
+
+
+def revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
+    """page_id, ``_digest`` and refers_to of the pages (page_id, html) that repeat a payload.
 
     Of equal payloads of at least ``min_payload`` bytes the smallest page_id is the response.
-    Digests are aggregated before the join, so a hot payload is one row on that side.
+    Only ids and digests are exchanged, and digests are aggregated before the join, so a hot
+    payload is one row on that side.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("_digest"))
-    firsts = pages.select("page_id", F.sha1(payload).alias("_digest"), F.octet_length(payload).alias("_n"))
-    firsts = firsts.where(F.col("_n") >= min_payload).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # payloads that occur once need no row on the other side
-    rows = rows.join(firsts.where("_n > 1").drop("_n"), "_digest", "left")
-    return rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("_first")), F.col("_first"))).drop("_first")
+    rows = pages.select("page_id", _digest(), F.coalesce(F.octet_length("html"), F.lit(0)).alias("_n")).where(F.col("_n") >= min_payload)
+    firsts = rows.groupBy("_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = rows.drop("_n").join(firsts.drop("_n"), "_digest").where("page_id is null or page_id > refers_to")
+    return again.where("refers_to is not null").select("page_id", "_digest", "refers_to").distinct()
 
 
 def shard_bounds(pages: DataFrame, target_bytes: int) -> tuple[int, int, list[int], list[int]]:
@@ -127,8 +129,12 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: in
         row = {k: out[k] for k in ("shard", "part", "temporary", "name", "records", "bytes")} | {"sha256": out["hash"].hexdigest()}
         return pa.RecordBatch.from_pylist([row], MANIFEST_ARROW)
 
+    mark = refers = None
     for batch in batches:
-        for shard, page_id, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("_shard", "page_id", "url", "html", "refers_to")), strict=True):
+        for shard, page_id, digest, url, html, to in zip(*(batch.column(c).to_pylist() for c in ("_shard", "page_id", "_digest", "url", "html", "refers_to")), strict=True):
+            if to is not None:  # says what the pages after it refer to
+                mark, refers = (page_id, digest), to
+                continue
             part = 0
             if out is not None and (out["shard"] != shard or out["bytes"] >= roll_bytes):
                 part = out["part"] + 1 if out["shard"] == shard else 0
@@ -139,7 +145,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: in
                 temporary = f".{name}.{attempt}"
                 stream = fs.open_output_stream(f"{root}/{temporary}", compression=None)
                 out = {"shard": shard, "part": part, "temporary": temporary, "name": name, "records": 0, "bytes": 0, "hash": hashlib.sha256(), "stream": stream}
-            data = _packed(record(page_id, url, (html or "").encode(), refers))
+            data = _packed(record(page_id, url, (html or "").encode(), refers if mark == (page_id, digest) else None))
             out["stream"].write(data)
             out["hash"].update(data)
             out["records"] += 1
@@ -170,11 +176,13 @@ def write(pages: DataFrame, folder: str, target_bytes: int = 32 << 20, roll_byte
     """
     low, width, first, count = shard_bounds(pages, target_bytes)
     cell = F.coalesce(((F.col("page_id") - low) / width).cast("int"), F.lit(CELLS))
-    spread = F.pmod(F.xxhash64("page_id", "url", "_digest"), F.element_at(F.lit(np.array(count)), cell + 1)).cast("int")
+    spread = F.pmod(F.xxhash64("page_id", "_digest"), F.element_at(F.lit(np.array(count)), cell + 1)).cast("int")
     shards = first[-1] + count[-1]
-    placed = linked(pages, min_payload).withColumn("_shard", F.element_at(F.lit(np.array(first)), cell + 1).cast("int") + spread)
-    placed = placed.repartition(shards, "_shard").sortWithinPartitions("_shard", "page_id", "url", "_digest")
-    manifest = placed.drop("_digest").mapInArrow(lambda it: _write_shards(it, folder, roll_bytes), MANIFEST)
+    # what a page refers to travels beside it, so payloads are exchanged once
+    rows = pages.select("page_id", "url", "html", _digest()).unionByName(revisits(pages, min_payload), allowMissingColumns=True)
+    placed = rows.withColumn("_shard", F.element_at(F.lit(np.array(first)), cell + 1).cast("int") + spread)
+    placed = placed.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "page_id", "_digest", F.col("refers_to").asc_nulls_last(), "url")
+    manifest = placed.mapInArrow(lambda it: _write_shards(it, folder, roll_bytes), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest-1")
     written = placed.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest-1")
     written.mapInArrow(lambda it: _commit(it, folder), MANIFEST).write.parquet(f"{folder}/manifest")
