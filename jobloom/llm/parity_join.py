@@ -15,8 +15,8 @@ blocks than d + 1, so it may leave out that many sparse ones without losing a pa
 The result is components, so no group is listed pair by pair: every key has a leader, and a set is
 compared with the one leader that it shares most keys with.  Leaders are the smallest ids first;
 then, where a key still holds several components, the sets with most company, then some picked
-by hash.  Only sets that share a key and are then still apart are compared across components, by
-their sketches inside the join.
+by hash.  Only sets that share a key and are then still apart are compared across components: the
+few of a small key as pairs of ids, the many of a crowded one by their sketches inside the join.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ from jobloom.llm.components import components
 
 #: Ratio of the sizes of a band: wide bands need more blocks, narrow ones put more sets in two bands.
 BAND = 1.4
-#: Bits per shingle of the sketch that is compared first, and of the one that is compared if that allows a pair.
-SKETCHES = (2, 16)
+#: Bits per shingle of the sketches.
+SKETCH = 2
+#: A key with more sets than this that are still apart compares their sketches inside the join.
+SMALL = 8
 #: Texts of this many characters at most are hashed together, to bound memory.
 GROUP = 2 << 20
 #: Ids up to this number are sent to every task (8 bytes each); more are joined by an exchange.
@@ -164,9 +166,9 @@ def _members(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     for batch in batches:
         for start, hashes, bounds in _groups(batch):
             sets = [shingles(hashes[a:b], width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            columns += [pa.array([parity_bits(s, f) if len(s) else None for s in sets], pa.list_(pa.int64())) for f in SKETCHES]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), *columns], names=["doc_id", "members", "bits", "wide"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            columns.append(pa.array([parity_bits(s, SKETCH) if len(s) else None for s in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), *columns], names=["doc_id", "n", "members", "bits"])
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -198,8 +200,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     shared = stored(shared.join(crowd, "key", "left_semi"), "parity-keys")
 
     ids = stored(shared.select("doc_id").distinct(), "parity-ids")
-    sides = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    members = docs.join(sides, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, width), "doc_id long, members array<long>, bits array<long>, wide array<long>")
+    members = _only(docs, ids).mapInArrow(lambda it: _members(it, width), "doc_id long, n long, members array<long>, bits array<long>")
     members = stored(members, "parity-members")
 
     # how much company a set has: the middle of a group has most
@@ -219,7 +220,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             shared = stored(labelled.join(apart, "key", "left_semi").drop("label"), f"parity-apart-{step}")
             labelled = _labelled(shared, linked)
         order = (F.struct("doc_id", "label"), F.struct(-F.col("company"), "doc_id", "label"), F.struct(F.xxhash64("doc_id"), "doc_id", "label"))[min(step, 2)]
-        spread = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("leader")).where("low != high")
+        spread = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("leader"), F.count(F.lit(1)).alias("sets")).where("low != high")
         if step < 3:
             # a member is compared with one leader: the one with which it shares most keys
             pairs = labelled.join(spread.select("key", "leader"), "key").where("label != leader.label")
@@ -229,19 +230,14 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                 pairs = pairs.join(asked, ["a", "b"], "left_anti")
             pairs = pairs.groupBy("doc_id").agg(F.max(F.struct("keys", -F.col("leader"), "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         else:
-            apart = labelled.join(spread.select("key"), "key", "left_semi")
-            apart = apart.join(members.select("doc_id", F.size("members").alias("n"), "bits", "wide"), "doc_id")
-            x, y = (apart.select("key", *(F.col(c).alias(c + side) for c in ("doc_id", "label", "n", "bits", "wide"))) for side in "ab")
-            may = _may_be_similar("a", "b", percent)
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("labela") < F.col("labelb")) & may)
-            pairs = pairs.select(F.least("doc_ida", "doc_idb").alias("a"), F.greatest("doc_ida", "doc_idb").alias("b")).distinct()
+            pairs = _apart(labelled.join(spread.select("key", "sets"), "key"), members, percent)
             if asked is not None:
                 pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"parity-pairs-{step}")
         if not pairs.head(1):
             continue
         asked = pairs if asked is None else asked.unionByName(pairs)
-        new = stored(_verified(pairs, members, percent), f"parity-links-{step}")
+        new = stored(_verified(pairs, members, percent, step), f"parity-links-{step}")
         links = new if links is None else links.unionByName(new)
         linked = stored(components(links), f"parity-components-{step}")
 
@@ -274,6 +270,19 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(docs.columns)
 
 
+def _apart(keyed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a key; columns key, doc_id, label and sets of the key."""
+    small = keyed.where(F.col("sets") <= SMALL)
+    crowded = keyed.where(F.col("sets") > SMALL).join(members.select("doc_id", "n", "bits"), "doc_id")
+    found = []
+    for rows, columns in ((small, ["doc_id", "label"]), (crowded, ["doc_id", "label", "n", "bits"])):
+        x, y = (rows.select("key", *(F.col(c).alias(c + side) for c in columns)) for side in "ab")
+        may = _may_be_similar("a", "b", percent) if "n" in columns else F.lit(True)
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("labela") < F.col("labelb")) & may)
+        found.append(pairs.select(F.least("doc_ida", "doc_idb").alias("a"), F.greatest("doc_ida", "doc_idb").alias("b")))
+    return found[0].unionByName(found[1]).distinct()
+
+
 def _folded(x: str, y: str):
     """Sketch ``x`` in the width of ``y`` if that is half of its own: bits that would have met are added."""
     half = (F.size(x) / 2).cast("int")
@@ -282,25 +291,30 @@ def _folded(x: str, y: str):
 
 
 def _may_be_similar(a: str, b: str, percent: int):
-    """False only where sizes or sketches rule a pair out; columns n, bits and wide end in ``a`` and ``b``.
+    """False only where sizes or sketches rule a pair out; columns n and bits end in ``a`` and ``b``.
 
     J >= p / 100 means |A xor B| * (100 + p) <= (100 - p) * (|A| + |B|).  A sketch of twice the
     width is folded to that of the other; sketches that differ more say nothing.
     """
     may = 100 * F.least("n" + a, "n" + b) >= percent * F.greatest("n" + a, "n" + b)
-    for name in ("bits", "wide"):
-        x, y = _folded(name + a, name + b), _folded(name + b, name + a)
-        differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-        may = may & ((F.size(x) != F.size(y)) | (differ * (100 + percent) <= (100 - percent) * (F.col("n" + a) + F.col("n" + b))))
-    return may
-
-
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar: sizes and sketches first, then the shingles."""
-    size = members.select("doc_id", F.size("members").alias("n"), "bits", "wide")
-    a, b = (size.select(F.col("doc_id").alias(s), *(F.col(c).alias(c + s) for c in ("n", "bits", "wide"))) for s in "ab")
-    some = pairs.join(a, "a").join(b, "b").where(_may_be_similar("a", "b", percent)).select("a", "b")
-    a, b = (members.select(F.col("doc_id").alias(s), F.col("members").alias("m" + s)) for s in "ab")
+    x, y = _folded("bits" + a, "bits" + b), _folded("bits" + b, "bits" + a)
+    differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    return may & ((F.size(x) != F.size(y)) | (differ * (100 + percent) <= (100 - percent) * (F.col("n" + a) + F.col("n" + b))))
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with one of the ids, a written table: sent to every task while they are few, exchanged beyond."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+
+
+def _verified(pairs: DataFrame, members: DataFrame, percent: int, step: int) -> DataFrame:
+    """The pairs that are similar: sizes and sketches first, then the shingles of the sets that are left."""
+    size = members.select("doc_id", "n", "bits")
+    a, b = (size.select(F.col("doc_id").alias(s), *(F.col(c).alias(c + s) for c in ("n", "bits"))) for s in "ab")
+    some = stored(pairs.join(a, "a").join(b, "b").where(_may_be_similar("a", "b", percent)).select("a", "b"), f"parity-likely-{step}")
+    ids = stored(some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"parity-likely-ids-{step}")
+    needed = _only(members.select("doc_id", "members"), ids)
+    a, b = (needed.select(F.col("doc_id").alias(s), F.col("members").alias("m" + s)) for s in "ab")
     both = F.size(F.array_intersect("ma", "mb"))
     full = some.join(a, "a").join(b, "b")
     return full.where(100 * both >= percent * (F.size("ma") + F.size("mb") - both)).select("a", "b")
