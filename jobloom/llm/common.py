@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 #: The setting by which shuffle files go when the execution that wrote them ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The bytes of a batch that is handed to Python, as set while a helper table is written.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Folders of the tables written by ``stored`` in this process, in order.
 _FOLDERS: list[str] = []
 
@@ -50,16 +55,29 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     Once it is written nobody reads the shuffle files behind it, so Spark is told to remove them.
     """
     path, conf = shared_folder(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
+    settings = {CLEAN_UP: "true", BATCH_BYTES: str(BATCH)}
+    before = {k: conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        conf.set(k, v)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     _FOLDERS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first row, rows) of a batch whose texts have ``most`` bytes together, or are one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(batch):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
+        yield start, batch.slice(start, stop - start)
+        start = stop
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of a key written as text, modulo ``modulus``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -88,7 +106,7 @@ _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at a time, so that memory stays bounded whatever a batch of texts holds.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:

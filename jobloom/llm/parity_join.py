@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import mixed, stored, word_hashes
+from jobloom.llm.common import mixed, slices, stored, word_hashes
 from jobloom.llm.components import components
 
 #: Ratio of the sizes of a band: wide bands need more blocks, narrow ones put more sets in two bands.
@@ -38,8 +38,6 @@ BAND = 1.4
 SKETCH = 2
 #: A key with more sets than this that are still apart compares their sketches inside the join.
 SMALL = 8
-#: Texts of this many characters at most are hashed together, to bound memory.
-GROUP = 2 << 20
 #: Ids up to this number are sent to every task (8 bytes each); more are joined by an exchange.
 SENT_IDS = 1 << 21
 
@@ -120,14 +118,8 @@ def parity_bits(sets: np.ndarray, factor: int) -> np.ndarray:
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, bounds) for runs of rows whose texts fit in memory together."""
-    texts = batch.column("text").to_pylist()
-    start = size = 0
-    for i, text in enumerate([*texts, None]):
-        if i == len(texts) or (size and size + len(text or "") > GROUP):
-            if i > start:
-                yield start, *word_hashes(texts[start:i])
-            start, size = i, 0
-        size += len(text or "")
+    for start, rows in slices(batch):
+        yield start, *word_hashes(rows.column("text").to_pylist())
 
 
 def _digest(s: np.ndarray) -> tuple[int, int, int]:

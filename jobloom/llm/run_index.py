@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import mixed, stored
+from jobloom.llm.common import mixed, slices, stored
 
 #: Bytes of an anchor.
 GRAM = 32
@@ -244,18 +244,10 @@ _PARTS = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("digest", pa.int
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as bytes) for rows of about 16 chunks together."""
-    texts = batch.column("text")
-    start, size, held = 0, 0, []
-    for i in range(len(texts)):
-        raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
-        if held and size + len(raw) > 16 * CHUNK:
-            yield start, held
-            start, size, held = i, 0, []
-        held.append(raw)
-        size += len(raw)
-    if held:
-        yield start, held
+    """(first row, texts as bytes) for rows that fit in memory together; a null text is empty."""
+    for start, rows in slices(batch):
+        texts = rows.column("text")
+        yield start, [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
 
 
 def _rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import crc_mod, stored
+from jobloom.llm.common import crc_mod, slices, stored
 
 #: Labelled rows of each class from which terms are learned, at most.
 SAMPLE = 8000
@@ -28,7 +28,7 @@ SAMPLE = 8000
 TERMS = 3000
 LEAST_SHARE = 0.01
 #: Terms that a task counts before it passes them on.
-HELD_TERMS = 300_000
+HELD_TERMS = 100_000
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6, 7)
 #: Distinct feature rows on whose posteriors the classifier is trained, at most.
@@ -68,10 +68,11 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["kind", "term", "clean", "toxic"])
 
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(_terms(words_of(text)))
-            if len(counts[0]) + len(counts[1]) > HELD_TERMS:
-                yield flush()
+        for _, rows in slices(batch):
+            for text, toxic in zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True):
+                counts[toxic].update(_terms(words_of(text)))
+                if len(counts[0]) + len(counts[1]) > HELD_TERMS:
+                    yield flush()
     yield flush()
 
 
@@ -199,9 +200,10 @@ class Scorer:
 
 def _vote(batches: Iterator[pa.RecordBatch], voters: Voters) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [voters.features(t) for t in batch.column("text").to_pylist()]
-        columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "bits", "x"])
+        for _, rows in slices(batch):
+            found = [voters.features(t) for t in rows.column("text").to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], names=["doc_id", "bits", "x"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,8 @@ def _apply(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.Rec
 
 def _keep(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array(scorer.score_texts(batch.column("text").to_pylist()) < DECISION))
+        for _, rows in slices(batch):
+            yield rows.filter(pa.array(scorer.score_texts(rows.column("text").to_pylist()) < DECISION))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tuple[Scorer, DataFrame]:
