@@ -21,6 +21,8 @@ from jobloom.llm.common import stored
 SLICE_DIGITS = 3
 #: Slices of the finish times in each of the two narrowing steps.
 STEPS = 4096
+#: Up to so many documents' copies are sent to every task (12 bytes each); beyond, texts are exchanged once.
+SENT_IDS = 1 << 21
 
 
 def words(text: Column) -> Column:
@@ -101,7 +103,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     Rows that repeat a doc_id are all taken as often as the one that is taken least.
     """
     taken = mix(docs, weights, share, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    taken = stored(taken, "mix-copies")
+    rows = docs.join(F.broadcast(taken) if taken.count() <= SENT_IDS else taken, docs["doc_id"].eqNullSafe(taken["_id"]))
     return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), taken["_copies"])).alias("_turn")).drop("_turn")
 
 

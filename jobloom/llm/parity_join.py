@@ -38,7 +38,7 @@ BAND = 1.4
 SKETCH = 2
 #: A key with more sets than this that are still apart compares their sketches inside the join.
 SMALL = 8
-#: Ids up to this number are sent to every task (8 bytes each); more are joined by an exchange.
+#: Tables of up to so many ids are sent to every task (16 bytes a row); larger ones are joined by an exchange.
 SENT_IDS = 1 << 21
 
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -198,7 +198,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # how much company a set has: the middle of a group has most
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     company = stored(shared.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("company")), "parity-company")
-    shared = shared.join(company, "doc_id")
+    shared = stored(shared.join(_sent(company), "doc_id"), "parity-accompanied")
 
     links = linked = None
     asked = None
@@ -209,8 +209,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             labelled = _labelled(shared, linked)
             # components only grow, so a key that lies within one is done with
             apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-            shared = stored(labelled.join(apart, "key", "left_semi").drop("label"), f"parity-apart-{step}")
-            labelled = _labelled(shared, linked)
+            labelled = stored(labelled.join(apart, "key", "left_semi"), f"parity-apart-{step}")
+            shared = labelled.drop("label")
         order = (F.struct("doc_id", "label"), F.struct(-F.col("company"), "doc_id", "label"), F.struct(F.xxhash64("doc_id"), "doc_id", "label"))[min(step, 2)]
         spread = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("leader"), F.count(F.lit(1)).alias("sets")).where("low != high")
         if step < 3:
@@ -243,7 +243,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def _labelled(shared: DataFrame, linked: DataFrame) -> DataFrame:
     """Members of keys with the component that they have so far."""
-    own = shared.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = shared.join(_sent(linked.withColumnRenamed("node", "doc_id")), "doc_id", "left")
     return own.withColumn("label", F.coalesce("component", "doc_id")).drop("component")
 
 
@@ -256,7 +256,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     losers = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "parity-losers")
     repeated = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = stored(repeated, "parity-repeated")
-    kept = docs.join(F.broadcast(losers) if losers.count() <= SENT_IDS else losers, "doc_id", "left_anti")
+    kept = docs.join(_sent(losers), "doc_id", "left_anti")
     if repeated.head(1):
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(docs.columns)
@@ -296,7 +296,12 @@ def _may_be_similar(a: str, b: str, percent: int):
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows with one of the ids, a written table: sent to every task while they are few, exchanged beyond."""
-    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    return rows.join(_sent(ids), "doc_id", "left_semi")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written table with a few numbers for each id, to be sent to every task if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
 def _verified(pairs: DataFrame, members: DataFrame, percent: int, step: int) -> DataFrame:
