@@ -185,8 +185,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     lead = keyed.select("key", "doc_id", F.first("doc_id").over(by_key).alias("leader"), F.lead("doc_id").over(by_key).alias("after"))
     shared = lead.where((F.col("leader") != F.col("doc_id")) | (F.col("after") != F.col("doc_id"))).select("key", "doc_id")
     # a task keys the first row of a set that it meets; the set's smallest id stands for all of them
-    repeated = linkable.join(classes.where("copies > 1"), one).where("doc_id != first").select("doc_id", "first")
-    shared = shared.join(repeated, "doc_id", "left").select("key", F.coalesce("first", "doc_id").alias("doc_id")).distinct()
+    repeated = stored(linkable.join(classes.where("copies > 1"), one).where("doc_id != first").select("doc_id", "first").distinct(), "parity-repeated-sets")
+    # sent to every task, it leaves the rows dealt by key, so that distinct needs no exchange
+    shared = shared.join(_sent(repeated), "doc_id", "left").select("key", F.coalesce("first", "doc_id").alias("doc_id")).distinct()
     shared = stored(shared, "parity-shared")
     crowd = shared.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
     shared = stored(shared.join(crowd, "key", "left_semi"), "parity-keys")
