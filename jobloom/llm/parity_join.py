@@ -201,8 +201,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     company = stored(shared.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("company")), "parity-company")
     shared = stored(shared.join(_sent(company), "doc_id"), "parity-accompanied")
 
-    links = linked = None
-    asked = None
+    linked = asked = None
     for step in range(4):
         if linked is None:
             labelled = shared.withColumn("label", F.col("doc_id"))
@@ -231,7 +230,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             continue
         asked = pairs if asked is None else asked.unionByName(pairs)
         new = stored(_verified(pairs, members, percent, step), f"parity-links-{step}")
-        links = new if links is None else links.unionByName(new)
+        # the components so far are stars already, which new links join
+        links = new if linked is None else linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
         linked = stored(components(links), f"parity-components-{step}")
 
     classes = classes.drop("copies")

@@ -255,3 +255,22 @@ def test_codes_of_odd_tables(spark):
         assert coded.collect() == [] and books is None
     with pytest.raises(Exception, match="a component is"):
         value_codes.compress(spark.createDataFrame([(1, [1e30] * 8, "a")], "vec_id long, embedding array<float>, label string"), parts=4)
+
+
+@pytest.mark.parametrize("links", [
+    [],
+    [(1, 2), (1, 3), (1, 4)],
+    [(k, k + 1) for k in range(1, 40)],
+    [(9, k) for k in range(1, 9)] + [(20, 20), (30, 31), (31, 30), (40, 31)],
+    [(k, 100) for k in range(101, 130)] + [(129, 7), (50, 51)],
+])
+def test_components_of_chains_hubs_and_stars(spark, links):
+    from jobloom.llm.components import components
+
+    low = {n: n for link in links if link[0] != link[1] for n in link}
+    for _ in low:
+        for a, b in links:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r["node"], r["component"]) for r in got) == sorted(low.items())
