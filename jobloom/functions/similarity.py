@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
+from itertools import combinations
+from math import comb
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +45,9 @@ class Threshold:
     """``ratio > 1 - num/den`` with the integer bounds that follow from it.
 
     A ratio above the threshold leaves fewer than ``num/den`` of all characters
-    unmatched.  Each unmatched character destroys at most ``q`` of the q-grams of
-    either string, which bounds from below how many q-grams qualifying strings share.
+    unmatched.  Each unmatched character destroys at most ``q`` q-grams of its own
+    string and, standing between matched ones, ``q - 1`` of the other, which bounds
+    from below how many q-grams qualifying strings share.
     """
 
     def __init__(self, num: int, den: int, q: int):
@@ -66,16 +73,22 @@ class Threshold:
         near = (F.abs(F.length(a) - F.length(b)) <= slack) & (apart <= slack)
         return near & (F.call_function("levenshtein", a, b, slack) >= 0)
 
+    def unmatched(self, length: int, other: int) -> tuple[int, int] | None:
+        """Most characters that stay unmatched in strings of these lengths; null if none qualify."""
+        d = (self.num * (length + other) - 1) // self.den
+        d -= (d - length - other) % 2  # unmatched characters have the parity of the total
+        return ((d + length - other) // 2, (d + other - length) // 2) if d >= abs(length - other) else None
+
+    def shared_by(self, length: int, other: int) -> int:
+        """Least number of common q-grams, repeats counted, of qualifying strings of these lengths."""
+        mine, others = self.unmatched(length, other)
+        return length - self.q + 1 - self.q * mine - (self.q - 1) * others
+
     def fewest_shared(self, length: int) -> int:
         """Least number of common q-grams over every partner length the ratio allows."""
         top = length * (self.den + self.num) // (self.den - self.num) + 1
-        fewest = length
-        for other in range(1, top + 1):
-            d = (self.num * (length + other) - 1) // self.den
-            d -= (d - length - other) % 2  # unmatched characters have the parity of the total
-            if d >= abs(length - other):
-                fewest = min(fewest, max(length, other) - self.q + 1 - self.q * d)
-        return max(fewest, 1)
+        others = (o for o in range(1, top + 1) if self.unmatched(length, o))
+        return max(min((self.shared_by(length, o) for o in others), default=length), 1)
 
     def shared_grams(self, length: Column) -> Column:
         """:meth:`fewest_shared` from a constant table; longer strings use its last entry."""
@@ -105,6 +118,7 @@ class Threshold:
         under one common order share ``k`` of them, so rows meet on combinations of
         ``k`` grams.  ``level`` is the k of the row's block: crowded blocks ask for
         more grams at once, which keeps every key selective without losing a pair.
+        Level 0 is one key for the whole block.
         A text that need not share that many grams also meets on smaller k.  The
         common order puts ``frequent`` grams last; it affects speed, not the result.
         """
@@ -130,7 +144,9 @@ class Threshold:
             lambda g: F.concat(F.array_except(g, late), F.array_intersect(late, g)),
         )
         staged = F.struct(ordered.alias("grams"), level.alias("level"))
-        return df.withColumns({"_counts": letter_counts(F.col(text)), into: F.explode(let(staged, keys))})
+        # level 0: so few members that all of them meet, and no gram is cut
+        found = F.when(level == 0, F.array(F.lit(""))).otherwise(let(staged, keys))
+        return df.withColumns({"_counts": letter_counts(F.col(text)), into: F.explode(found)})
 
 
 LEVELS = 4
@@ -148,5 +164,110 @@ def _combinations(items: Column, k: int) -> Column:
     return F.flatten(F.transform(items, starting_with))
 
 
+# Subsequences of one string, at most, that stand for it when it is compared with one length.
+SUBSEQUENCES = 256
+# Grams whose frequency is known when keys are cut, at most.
+KNOWN_GRAMS = 1 << 16
+
+
+class LengthPlan:
+    """How distinct strings meet, for every two lengths that occur and may qualify.
+
+    Where few characters may stay unmatched, strings meet on what is left of them without
+    these: qualifying strings have a common subsequence of that length, and hardly others do.
+    Otherwise they meet on combinations of q-grams as in :meth:`Threshold.with_keys`, with
+    the bound of just these lengths and the grams in the order of their chance to meet.
+    """
+
+    def __init__(self, threshold: Threshold, sizes: dict[int, int], level_of: Callable[[int], int]):
+        self.q = threshold.q
+        self.cuts: dict[int, list[tuple[int, int, int]]] = {}  # length -> (tag, side, characters left out)
+        self.grams: dict[int, list[tuple[int, int, int, int, int]]] = {}  # -> (tag, side, other, shared, level)
+        tag = 0
+        for a in sorted(sizes):
+            for b in sorted(sizes):
+                drops = threshold.unmatched(a, b) if a <= b else None
+                if drops is None or (a == b and drops[0] == 0):
+                    continue
+                tag += 1
+                few = comb(a, drops[0]) <= SUBSEQUENCES and comb(b, drops[1]) <= SUBSEQUENCES
+                level = level_of(sizes[a] + (sizes[b] if a != b else 0))
+                for side, (mine, other, drop) in enumerate([(a, b, drops[0]), (b, a, drops[1])][: 1 if a == b else 2]):
+                    if few:
+                        self.cuts.setdefault(mine, []).append((tag, side, drop))
+                    else:
+                        self.grams.setdefault(mine, []).append((tag, side, other, threshold.shared_by(mine, other), level))
+
+    def gram_counts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(length, gram, count) of the lengths that meet on grams, per batch."""
+        for batch in batches:
+            found = Counter(
+                (len(t), g) for t in batch.column(1).to_pylist() if len(t) in self.grams for g in self._distinct(t)
+            )
+            columns = [pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=["size", "gram", "n"])
+
+    def _distinct(self, text: str) -> set[str]:
+        return {text[i : i + self.q] for i in range(len(text) - self.q + 1)}
+
+    def keys(
+        self, batches: Iterator[pa.RecordBatch], known: dict[tuple[int, str], int], whole: bool
+    ) -> Iterator[pa.RecordBatch]:
+        """(key, side, id) of (id, text) rows.  ``whole``: grams not in ``known`` do not occur."""
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
+                out = [*self._cut_keys(ids, texts), *self._gram_keys(ids, texts, known, whole)]
+                if out:
+                    key, side, owner = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(owner)], names=["key", "side", "id"])
+
+    def _cut_keys(self, ids: np.ndarray, texts: list[str]):
+        lengths = np.array([len(t) for t in texts])
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
+            for tag, side, drop in self.cuts.get(int(length), ()):
+                points = np.frombuffer("".join(texts[i] for i in rows).encode("utf-32-le"), np.uint32)
+                points = points.reshape(len(rows), length).astype(np.uint64) + np.uint64(1)
+                with np.errstate(over="ignore"):
+                    weights = np.cumprod(np.full(length - drop, _ODD, np.uint64))
+                    found = np.stack(
+                        [(points[:, kept] * weights).sum(axis=1, dtype=np.uint64) for kept in map(list, combinations(range(length), length - drop))]
+                    )
+                    found = np.sort((found + np.uint64(tag)) * _ODD, axis=0)
+                    found ^= found >> np.uint64(32)
+                new = np.concatenate([np.ones((1, len(rows)), bool), found[1:] != found[:-1]])
+                owner = np.broadcast_to(ids[rows], found.shape)[new]
+                yield found[new].view(np.int64), np.full(len(owner), side, np.int8), owner
+
+    def _gram_keys(self, ids: np.ndarray, texts: list[str], known: dict[tuple[int, str], int], whole: bool):
+        key, sides, owner = [], [], []
+        missing = 0 if whole else 1
+        for row, text in zip(ids, texts, strict=True):
+            for tag, side, other, shared, level in self.grams.get(len(text), ()):
+                grams = self._distinct(text)
+                own = len(text)
+                chance = {g: known.get((own, g), missing) * known.get((other, g), missing) for g in grams}
+                ordered = sorted(grams, key=lambda g: (chance[g], g))
+                least = max(1, shared - (own - self.q + 1 - len(grams)))
+                for k in range(min(level, least), level + 1) if level else (0,):
+                    # a gram that the other length never shows cannot be part of a meeting
+                    prefix = [g for g in ordered[: len(grams) - least + k] if chance[g]]
+                    found = [_text_key(tag, c) for c in combinations(prefix, k)]
+                    key += found
+                    sides += [side] * len(found)
+                    owner += [row] * len(found)
+        if key:
+            yield np.array(key, np.int64), np.array(sides, np.int8), np.array(owner, np.int64)
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _text_key(tag: int, grams: tuple[str, ...]) -> int:
+    return int.from_bytes(blake2b("\x01".join((str(tag), *grams)).encode(), digest_size=8).digest(), "little", signed=True)
+
+
 TITLE = Threshold(1, 10, q=3)  # ratio > 0.9
 COMPANY = Threshold(3, 20, q=2)  # ratio > 0.85

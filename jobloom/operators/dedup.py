@@ -27,27 +27,37 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.similarity import COMPANY, TITLE, Threshold, block_ratio
+from jobloom.functions.similarity import COMPANY, KNOWN_GRAMS, TITLE, LengthPlan, Threshold, block_ratio, letter_counts
 from jobloom.functions.text import company_base, company_key, date_key, deadline_key, let, title_key
 from jobloom.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
 class Blocking:
-    """Block sizes from which keys combine two, three or four grams.  Speed only, never the result."""
+    """Block sizes from which keys combine two, three or four grams, or need a gram at all.
+
+    Speed only, never the result.
+    """
 
     two_grams_from: int = 2_000
     three_grams_from: int = 50_000
     four_grams_from: int = 2_000_000
+    one_gram_from: int = 33
 
     def level(self, members: Column) -> Column:
         return (
             F.when(members >= self.four_grams_from, 4)
             .when(members >= self.three_grams_from, 3)
             .when(members >= self.two_grams_from, 2)
-            .otherwise(1)
+            .when(members >= self.one_gram_from, 1)
+            .otherwise(0)
         )
 
+    def level_of(self, members: int) -> int:
+        """:meth:`level` of a plain number."""
+        bounds = [(self.four_grams_from, 4), (self.three_grams_from, 3), (self.two_grams_from, 2), (self.one_gram_from, 1)]
+        return next((k for least, k in bounds if members >= least), 0)
+
 
 DEFAULT_BLOCKING = Blocking()
 
@@ -95,37 +105,55 @@ def _both_ratios(pairs: DataFrame, a: str, b: str, threshold: Threshold) -> Data
 
 
 def similar_names(names: DataFrame, blocking: Blocking = DEFAULT_BLOCKING) -> DataFrame:
-    """(a, b, ab, ba): distinct company keys of four characters or more, over 85 % alike."""
+    """(a, b, ab, ba): distinct company keys of four characters or more, over 85 % alike.
+
+    Names meet per two lengths, see :class:`LengthPlan`; only numbers are exchanged for that.
+    """
     ensure_checkpoint_dir(names.sparkSession)
-    named = names.filter(F.length("n") >= 4).select("n").distinct()
-    level = blocking.level(F.lit(named.count()))
-    frequent = COMPANY.frequent_grams(named, "n")
-    keyed = _on_keys(COMPANY.with_keys(_on_keys(named, "n"), "n", level, frequent), "_key").checkpoint()
-    pairs = (
-        keyed.withColumnsRenamed({"n": "a", "_counts": "_counts_a"})
-        .join(keyed.withColumnsRenamed({"n": "b", "_counts": "_counts_b"}), "_key")
-        .filter(F.col("a") < F.col("b"))
-        .drop("_key")
-    )
-    return _both_ratios(pairs, "a", "b", COMPANY)
+    distinct = names.filter(F.length("n") >= 4).select("n").distinct()
+    named = distinct.select(F.monotonically_increasing_id().alias("id"), "n").checkpoint()
+    sizes = {r.size: r["count"] for r in named.groupBy(F.length("n").alias("size")).count().collect()}
+    plan = LengthPlan(COMPANY, sizes, blocking.level_of)
+    spread = _on_keys(named, "id")
+    counts = spread.mapInArrow(plan.gram_counts, "size int, gram string, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "size", "gram").limit(KNOWN_GRAMS + 1).collect() if plan.grams else []
+    known, whole = {(r["size"], r["gram"]): r["n"] for r in top[:KNOWN_GRAMS]}, len(top) <= KNOWN_GRAMS
+    keyed = spread.mapInArrow(lambda it: plan.keys(it, known, whole), "key long, side byte, id long")
+    a, b = (keyed.select("key", F.col("side").alias(f"side_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    # a name has many keys, which the estimate before the join does not know; names of one
+    # length have one side only and meet each other once
+    met = a.hint("merge").join(b, "key").filter("side_a < side_b OR (side_a = side_b AND id_a < id_b)").select("id_a", "id_b").distinct()
+    first, second = (named.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = met.join(first, "id_a").join(second, "id_b").select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"))
+    counts = {f"_counts_{x}": letter_counts(F.col(x)) for x in "ab"}
+    return _both_ratios(pairs.withColumns(counts), "a", "b", COMPANY)
 
 
 def contained_bases(bases: DataFrame) -> DataFrame:
     """(a, b): distinct company bases, ``a`` a proper part of ``b``.
 
-    Every 4-gram of the part occurs in the whole, so the part waits under its
-    rarest one and the whole visits each of its own.
+    Every gram of the part occurs in the whole, so the part waits under one of its
+    rarer ones and the whole visits each of its own.  Parts of eight characters or
+    more wait under 8-grams, shorter ones under 4-grams.
     """
-    distinct = bases.filter(F.col("b").isNotNull()).select("b").distinct()
-    gram4 = Threshold(0, 1, q=4).grams
-    late = F.split(F.lit("\x02".join(Threshold(0, 1, q=4).frequent_grams(distinct, "b"))), "\x02")
-    rarest = let(
-        gram4(F.col("b")), lambda g: F.get(F.concat(F.array_except(g, late), F.array_intersect(late, g)), F.lit(0))
-    )
-    parts = distinct.select(F.col("b").alias("a"), rarest.alias("_key"))
-    wholes = distinct.select("b", F.explode(gram4(F.col("b"))).alias("_key"))
+    ensure_checkpoint_dir(bases.sparkSession)
+    distinct = bases.filter(F.col("b").isNotNull()).select("b").distinct().checkpoint()
+
+    def met(q: int, of_size: Column) -> DataFrame:
+        cut = Threshold(0, 1, q=q)
+        waiting = distinct.filter(of_size)
+        late = F.split(F.lit("\x02".join(cut.frequent_grams(waiting, "b"))), "\x02")
+        rarest = let(
+            cut.grams(F.col("b")),
+            lambda g: F.get(F.concat(F.array_except(g, late), F.array_intersect(late, g)), F.lit(0)),
+        )
+        parts = waiting.select(F.col("b").alias("a"), rarest.alias("_key"))
+        wholes = distinct.filter(F.length("b") > q).select("b", F.explode(cut.grams(F.col("b"))).alias("_key"))
+        return parts.join(wholes, "_key")
+
     return (
-        parts.join(wholes, "_key")
+        met(8, F.length("b") >= 8)
+        .unionByName(met(4, F.length("b") < 8))
         .filter((F.length("a") < F.length("b")) & F.contains(F.col("b"), F.col("a")))
         .select("a", "b", F.lit(True).alias("ab"), F.lit(True).alias("ba"))
     )
