@@ -63,20 +63,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer splits than the session has cores.
+#: Rows of a task of text work, about; a task of so many takes seconds.
+TASK_ROWS = 20_000
 
-    Text work is CPU-bound, so one small file would keep one core busy.  Inputs with
-    enough splits, as on a cluster, are returned as they are.
+
+def spread(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Deal rows out when the input has fewer splits than the session has cores or ``rows`` need.
+
+    Text work is CPU-bound, so one small file would keep one core busy, and splits or
+    shuffle partitions sized by bytes would leave millions of narrow rows to a task.
+    Inputs with enough splits, as on a cluster, are returned as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(parts) if rows or df.rdd.getNumPartitions() < parts else df
 
 
 def job_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings derived from orders and customers, in the shapes the boards publish."""
+    """Postings derived from orders and customers, in the shapes the boards publish.
+
+    Rows are dealt out after the join, whose partitions are sized by bytes.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    booked = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return spark.sql(
-        JOB_POSTINGS_SQL.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"),
-        orders=spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")),
-        customer=table(spark, sf_dir, "customer"),
+        JOB_POSTINGS_SQL.replace("FROM orders JOIN customer ON o_custkey = c_custkey", "FROM {booked}"),
+        booked=spread(booked, max(1, orders.count())),
     )

@@ -105,3 +105,16 @@ def test_pipeline(spark, tmp_path):
     )
     assert list(result.errors) == ["broken"]
     assert result.totals.head().asDict() == {"found": 3, "new": 3, "skipped": 0, "removed": 1, "final": 2}
+
+
+def test_postings_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Narrow rows are few bytes, so tasks of text work are sized by rows, after the join."""
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 10)
+    spark.range(1000).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "timestamp '1998-01-01 00:00:00' AS o_orderdate"
+    ).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(5).selectExpr("id AS c_custkey", "'AUTO' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    made = fixtures.job_postings(spark, str(tmp_path))
+    sizes = [len(p) for p in made.select("id").rdd.glom().collect()]
+    # an order becomes one posting, every tenth a second one
+    assert sum(sizes) == made.count() > 700 and max(sizes) <= 20
