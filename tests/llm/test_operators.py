@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,6 +405,30 @@ def test_model_is_causal_and_sums_to_one():
     assert model.scores(many, end) == pytest.approx(np.array([model.scores([m], end)[0] for m in many]))
 
 
+def test_training_uses_every_window_of_every_text():
+    """Each id and each end is predicted in some window, those of short texts and last windows included."""
+    end, texts = 299, [np.arange(1, 1 + n, dtype=np.uint16) for n in (0, 3, 15, 16, 40, 200)]
+    windows, left = attention_lm._windows(texts, end)
+    at, seen = 0, []
+    for t in texts:
+        line = [end, *t.tolist(), end]
+        count = int(attention_lm._starts(np.array([len(t) + 1]))[0])
+        predicted = set()
+        for k in range(count):
+            start = k * (attention_lm.WINDOW - attention_lm.OVERLAP)
+            n = int(left[at])
+            assert windows[at, : n + 1].tolist() == line[start : start + n + 1]
+            predicted |= set(range(start + 1, start + n + 1))
+            at += 1
+        assert predicted == set(range(1, len(line)))
+        seen.append(count)
+    assert at == len(windows) == sum(seen)
+    model = attention_lm.Model(np.arange(1.0, 301.0))
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], names=["ids"])
+    made = list(attention_lm._trained(iter([batch]), model, [0.01], end))
+    assert made[0].column("n").to_pylist() == [len(windows)]
+
+
 def test_long_texts_are_cut_where_the_pattern_cuts():
     coder = attention_lm.Subwords(open(attention_lm.VOCABULARY, "rb").read())
     for unit in ("alpha beta  gamma\n delta, ", "x", "mot été  \n"):
