@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -429,6 +430,102 @@ def test_training_uses_every_window_of_every_text():
     assert made[0].column("n").to_pylist() == [len(windows)]
 
 
+def _plain_step(w, x, y, use, rate, step, first, second):
+    """One step of training written out, place by place and without any array that is used again."""
+    d, size = attention_lm.WIDTH, attention_lm.WINDOW
+    mask = np.where(np.tril(np.ones((size, size), bool)), 0, -1e9).astype(np.float32)
+    e = w["E"][x] + w["P"]
+    q, k, v = e @ w["Q"], e @ w["K"], e @ w["V"]
+    a = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(d)) + mask
+    a = np.exp(a - a.max(axis=2, keepdims=True))
+    a /= a.sum(axis=2, keepdims=True)
+    h = np.concatenate([a @ v, e], axis=2)
+    z = h @ w["O"] + w["b"]
+    p = np.exp(z - z.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - 1, 2)
+    p *= use[..., None] / np.float32(use.sum())
+    flat = lambda t: t.reshape(-1, t.shape[-1])
+    dh = p @ w["O"].T
+    dc, de = dh[..., :d], dh[..., d:].copy()
+    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.float32(np.sqrt(d))
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    de += dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
+    g = {"O": flat(h).T @ flat(p), "b": flat(p).sum(axis=0), "P": de.sum(axis=0), "E": np.zeros_like(w["E"])}
+    g |= {n: flat(e).T @ flat(t) for n, t in (("Q", dq), ("K", dk), ("V", dv))}
+    np.add.at(g["E"], x.ravel(), flat(de))
+    for n in w:
+        first[n] = 0.9 * first[n] + 0.1 * g[n]
+        second[n] = 0.99 * second[n] + 0.01 * g[n] ** 2
+        w[n] -= np.float32(rate) * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)
+
+
+def _plain_score(model, ids, end):
+    w, size, d, total, at = model.w, attention_lm.WINDOW, attention_lm.WIDTH, 0.0, 0
+    line = np.array([end, *ids.tolist(), end])
+    while at < len(line) - 1:
+        part = line[at : at + size + 1]
+        e = (w["E"][model.row[part[:-1]]] + w["P"][: len(part) - 1]).astype(float)
+        a = (e @ w["Q"]) @ (e @ w["K"]).T / np.sqrt(d)
+        a = np.where(np.tril(np.ones(a.shape, bool)), a, -np.inf)
+        a = np.exp(a - a.max(axis=1, keepdims=True))
+        z = np.concatenate([a / a.sum(axis=1, keepdims=True) @ (e @ w["V"]), e], axis=1) @ w["O"] + w["b"]
+        z -= z.max(axis=1, keepdims=True)
+        logs = (z[np.arange(len(z)), model.klass[part[1:]]] - np.log(np.exp(z).sum(axis=1))) / np.log(10) + model.within[part[1:]]
+        total += logs[attention_lm.OVERLAP if at else 0 :].sum()
+        if at + size >= len(line) - 1:
+            break
+        at += size - attention_lm.OVERLAP
+    return total
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_training_and_scores_equal_the_plain_formulas(scale):
+    """Odd numbers of windows, short texts, and weights so large that exponents must be shifted."""
+    rng = np.random.default_rng(3)
+    counts, end = rng.integers(1, 100, 300).astype(float), 299
+    texts = [rng.integers(0, 299, int(n)).astype(np.uint16) for n in (0, 1, 15, 16, 17, 300, 4000, 40)]
+    windows, left = attention_lm._windows(texts, end)
+    assert len(windows) > attention_lm.BATCH and len(windows) % 16
+    model, rate = attention_lm.Model(counts), 0.01
+    for k in ("Q", "K", "O"):
+        model.w[k] *= np.float32(scale)
+    w = {k: v.copy() for k, v in model.w.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    order = np.random.default_rng(7).permutation(len(windows))
+    for step, at in enumerate(range(0, len(order), 256), 1):
+        rows = order[at : at + 256]
+        _plain_step(w, model.row[windows[rows, :-1]], model.klass[windows[rows, 1:]], np.arange(attention_lm.WINDOW) < left[rows, None], rate, step, first, second)
+    model.train(windows, left, rate, model.start(), np.random.default_rng(7))
+    for k in w:  # a step of the optimizer is about the rate, whatever the gradient
+        assert np.quantile(np.abs(model.w[k] - w[k]), 0.98) < 0.02 * rate, k
+    assert model.scores(texts, end) == pytest.approx([_plain_score(model, t, end) for t in texts], rel=1e-4)
+    nothing = np.zeros((0, attention_lm.WINDOW + 1), np.int64)
+    model.train(nothing, np.zeros(0, np.int64), rate, model.start(), np.random.default_rng(7))
+
+
+def test_training_takes_less_cpu_than_the_plain_formula():
+    rng = np.random.default_rng(4)
+    model = attention_lm.Model(rng.integers(1, 100, 5000).astype(float))
+    windows = rng.integers(0, 5000, (1024, attention_lm.WINDOW + 1))
+    left, w = np.full(1024, attention_lm.WINDOW), {k: v.copy() for k, v in model.w.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+
+    def plain():
+        for at in range(0, 1024, 256):
+            x, y = model.row[windows[at : at + 256, :-1]], model.klass[windows[at : at + 256, 1:]]
+            _plain_step(w, x, y, np.arange(attention_lm.WINDOW) < left[at : at + 256, None], 0.01, 1, first, second)
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    slow, fast = (min(seconds(f) for _ in range(7)) for f in (plain, lambda: model.train(windows, left, 0.01, model.start(), rng)))
+    assert fast < 0.8 * slow
+
+
 def test_long_texts_are_cut_where_the_pattern_cuts():
     coder = attention_lm.Subwords(open(attention_lm.VOCABULARY, "rb").read())
     for unit in ("alpha beta  gamma\n delta, ", "x", "mot été  \n"):
