@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
@@ -32,13 +33,52 @@ def letter_counts(text: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-block ratio of (first, second); the order of the arguments matters."""
-    for first, second in pairs:
-        yield pd.Series(
-            [SequenceMatcher(None, a, b).ratio() for a, b in zip(first, second)], dtype="float64"
-        )
+def both_above(first: Column, second: Column, value: float) -> Column:
+    """1 where the ratio of (first, second) is above ``value``, plus 2 where that of (second, first) is.
+
+    Matching blocks are a common subsequence, so pairs whose longest one is too short are
+    left out before any blocks are looked for.
+    """
+
+    @F.pandas_udf(T.ByteType())
+    def above(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            a, b = a.to_numpy(), b.to_numpy()
+            total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+            out = np.zeros(len(a), np.int8)
+            for i in np.flatnonzero(2.0 * common_lengths(a, b) > value * total - 1e-6):
+                ab, ba = (SequenceMatcher(None, x, y).ratio() > value for x, y in ((a[i], b[i]), (b[i], a[i])))
+                out[i] = ab + 2 * ba
+            yield pd.Series(out)
+
+    return above(first, second)
+
+
+def common_lengths(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of strings of up to 64 characters; of others, a bound.
+
+    One bit per character of ``first``; a whole row of the table of lengths is one addition.
+    """
+    sizes = np.array([[len(a), len(b)] for a, b in zip(first, second, strict=True)], np.int64).reshape(-1, 2)
+    found = sizes.min(axis=1)
+    short = np.flatnonzero(sizes.max(axis=1) <= 64)
+    for at in range(0, len(short), 4096):
+        rows = short[at : at + 4096]
+        a, b = _points(first[rows], sizes[rows, 0], 0), _points(second[rows], sizes[rows, 1], 0xFFFFFFFF)
+        row = np.full(len(rows), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for j in range(sizes[rows, 1].max()):
+            same = np.packbits(a == b[:, j : j + 1], axis=1, bitorder="little").view("<u8")[:, 0]
+            hit = row & same
+            row = (row + hit) | (row - hit)
+        found[rows] = np.bitwise_count(~row)
+    return found
+
+
+def _points(texts: np.ndarray, sizes: np.ndarray, blank: int) -> np.ndarray:
+    """Characters plus one as a row of 64 numbers per text, ``blank`` after its end."""
+    out = np.full((len(texts), 64), blank, np.uint32)
+    out[np.arange(64) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) + 1
+    return out
 
 
 class Threshold:
@@ -198,6 +238,28 @@ class LengthPlan:
                     else:
                         self.grams.setdefault(mine, []).append((tag, side, other, threshold.shared_by(mine, other), level))
 
+    def ask_for_more(self, sizes: dict[int, int], known: dict[tuple[int, str], int], most: int = 16) -> None:
+        """Combine more grams where a string then still has about ``most`` keys, so that fewer strings meet.
+
+        What a string shows and the other length never does leaves few grams to combine.
+        """
+        never: dict[tuple[int, int], float] = {}
+        sides: dict[int, list[tuple[int, int, int, int]]] = {}
+        for own, entries in self.grams.items():
+            for tag, _, other, shared, level in entries:
+                alone = sum(n for (size, g), n in known.items() if size == own and (other, g) not in known) if (own, other) not in never else 0
+                never.setdefault((own, other), alone / sizes[own])
+                sides.setdefault(tag, []).append((own, other, shared, level))
+        levels = {}
+        for tag, both in sides.items():
+            levels[tag] = both[0][3]
+            for k in range(max(1, both[0][3]) + 1, MOST_GRAMS + 1):
+                left = [round(own - self.q + 1 - max(1, shared) + k - never[own, other]) for own, other, shared, _ in both]
+                if not both[0][3] or any(comb(max(n, 0), k) > most for n in left) or any(shared < k for _, _, shared, _ in both):
+                    break
+                levels[tag] = k
+        self.grams = {own: [(*e[:4], levels[e[0]]) for e in entries] for own, entries in self.grams.items()}
+
     def gram_counts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(length, gram, count) of the lengths that meet on grams, per batch."""
         for batch in batches:
@@ -210,15 +272,35 @@ class LengthPlan:
     def _distinct(self, text: str) -> set[str]:
         return {text[i : i + self.q] for i in range(len(text) - self.q + 1)}
 
+    def sketches(self, batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+        """(bucket, keys): what is left of the keys of subsequences, four bytes each and no owner."""
+        kept, size = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                kept += [key for key, _, _ in self._cut_keys(part.column(0).to_numpy(), part.column(1).to_pylist())]
+                size = sum(map(len, kept))
+                if size >= SKETCHED:
+                    yield from _bucketed(kept, buckets)
+                    kept, size = [], 0
+        if size:
+            yield from _bucketed(kept, buckets)
+
     def keys(
-        self, batches: Iterator[pa.RecordBatch], known: dict[tuple[int, str], int], whole: bool
+        self, batches: Iterator[pa.RecordBatch], known: dict[tuple[int, str], int], whole: bool, marks: np.ndarray | None = None
     ) -> Iterator[pa.RecordBatch]:
-        """(key, side, id) of (id, text) rows.  ``whole``: grams not in ``known`` do not occur."""
+        """(key, side, id) of (id, text) rows.  ``whole``: grams not in ``known`` do not occur.
+
+        With ``marks`` (buckets, bytes) keys of subsequences that nobody else has are left out.
+        """
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
-                out = [*self._cut_keys(ids, texts), *self._gram_keys(ids, texts, known, whole)]
+                cut = self._cut_keys(ids, texts)
+                if marks is not None:
+                    cut = (tuple(c[shared] for c in k) for k in cut if (shared := _marked(k[0], marks)).any())
+                out = [*cut, *self._gram_keys(ids, texts, known, whole)]
                 if out:
                     key, side, owner = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(owner)], names=["key", "side", "id"])
@@ -263,6 +345,51 @@ class LengthPlan:
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+# Grams that a key combines, at most.
+MOST_GRAMS = 6
+# Keys that a task packs at a time.
+SKETCHED = 1 << 21
+# Bytes of the marks of all buckets together, which every task gets.
+MARKS = 1 << 24
+
+
+def _parted(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and the four bytes that stand for a key in it."""
+    key = key.view(np.uint64)
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), key.astype(np.uint32)
+
+
+def _bucketed(keys: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    bucket, rest = _parted(np.concatenate(keys), buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rest = bucket[order], rest[order]
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    packed = [part.tobytes() for part in np.split(rest, starts[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=["bucket", "keys"])
+
+
+def _places(rest: np.ndarray, size: int) -> np.ndarray:
+    """The bit of a key among the ``size`` bytes of its bucket."""
+    return ((rest * np.uint32(0x9E3779B1)) ^ (rest >> np.uint32(15))) % np.uint32(8 * size)
+
+
+def repeated_marks(size: int) -> Callable[[pa.Table], pa.Table]:
+    """(bucket, keys) rows of one bucket to (bucket, marks): a bit for what occurs more than once."""
+
+    def marks(rows: pa.Table) -> pa.Table:
+        rest = np.sort(np.concatenate([np.frombuffer(k, np.uint32) for k in rows.column("keys").to_pylist()]))
+        bits = np.zeros(8 * size, bool)
+        bits[_places(rest[1:][rest[1:] == rest[:-1]], size)] = True
+        found = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+        return pa.table({"bucket": pa.array([rows.column("bucket")[0].as_py()], pa.int32()), "marks": pa.array([found], pa.binary())})
+
+    return marks
+
+
+def _marked(key: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    bucket, rest = _parted(key, len(marks))
+    place = _places(rest, marks.shape[1])
+    return (marks[bucket, place >> np.uint32(3)] >> (place & np.uint32(7)).astype(np.uint8)) & 1 > 0
 
 
 def _text_key(tag: int, grams: tuple[str, ...]) -> int:
