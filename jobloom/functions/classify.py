@@ -1,13 +1,15 @@
 """Keyword and rule classifiers.
 
 A keyword table becomes one constant array, longest keyword first, so the first
-hit is the answer.  ``aggregate`` stops testing after that hit because
-``coalesce`` is lazy.
+hit is the answer.  A long table is also one pattern, which a text is read with once;
+in a short one ``aggregate`` stops testing after the hit because ``coalesce`` is lazy.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,17 +18,8 @@ from jobloom import vocab
 from jobloom.functions.text import _col, let
 
 SUBSTRING, BOUNDARY_RAW, BOUNDARY_STRIPPED = "substring", "boundary_raw", "boundary_stripped"
-
-_MARK = "\x01"
-
-
-def _mark(word: str) -> str:
-    """A keyword as it looks in marked text, with a boundary on both ends."""
-    inner = re.sub(r"\b", _MARK, word)
-    if not inner.startswith(_MARK):
-        inner = _MARK + inner
-    return inner if inner.endswith(_MARK) else inner + _MARK
-
+#: Needles from which one pattern is faster than one test each.
+MANY = 48
 
 def ranked(kmap: dict[str, list[str]], mode: str = SUBSTRING) -> list[tuple[str, str, bool]]:
     """(needle, category, bounded) in decision order: longer first, then category order."""
@@ -48,37 +41,78 @@ def _constant_array(values: list[str]) -> Column:
     return F.split(F.lit("\x02".join(values)), "\x02")
 
 
-def _first_in(haystack: Column, needles: list[str], values: list[str]) -> Column:
-    """The value of the first needle contained in the text, null if none is.
+def _trie(words: list[str]) -> str:
+    """A regex of all words that tells them apart letter by letter and tries longer ones first."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            by_letter.setdefault(w[0], []).append(w[1:])
+    one_of = _one_of({c: re.escape(c) + _trie(rest) for c, rest in sorted(by_letter.items())})
+    return one_of if "" not in words else f"(?:{one_of}|)" if by_letter else ""
+
+
+def _one_of(by_letter: dict[str, str]) -> str:
+    """Alternatives that begin with different letters; many are halved by a look at the letter."""
+    letters, branches = list(by_letter), list(by_letter.values())
+    if len(letters) < 2:
+        return "".join(branches)
+    if len(letters) < 4:
+        return f"(?:{'|'.join(branches)})"
+    half = len(letters) // 2
+    low, high = ({c: by_letter[c] for c in some} for some in (letters[:half], letters[half:]))
+    return f"(?:(?={_class(low)}){_one_of(low)}|{_one_of(high)})"
+
+
+def _class(letters) -> str:
+    return f"[{''.join(map(re.escape, letters))}]"
+
 
-    Needles with word boundaries are looked up in the marked text.
+def _first_place(text: Column, needles: list[str]) -> Column:
+    """Place (from 1) of the first needle contained in the text, null if none is.
+
+    Many needles, none before one that it begins, are one pattern: it finds the first of them
+    that begins at each character, and the least of these counts.
     """
     table = _constant_array(needles)
-    marked = any(n.startswith(_MARK) for n in needles)
+    if len(needles) >= MANY and not any(b.startswith(a) for i, a in enumerate(needles) for b in needles[i + 1 :] if a != b):
+        found = F.regexp_extract_all(text, F.lit(f"(?=({_trie(list(dict.fromkeys(needles)))}))"), 1)
+        return F.array_min(F.transform(found, lambda x: F.array_position(table, x))).cast("int")
 
     def pick(h: Column) -> Column:
-        def within(k: Column) -> Column:
-            if not marked:
-                return F.contains(h, k)
-            return F.contains(F.when(F.startswith(k, F.lit(_MARK)), h["marked"]).otherwise(h["plain"]), k)
-
         return F.aggregate(
             table,
             F.lit(None).cast("string"),
-            lambda found, k: F.coalesce(found, F.when(within(k), k)),
+            lambda found, k: F.coalesce(found, F.when(F.contains(h, k), k)),
         )
 
-    low = F.lower(haystack)
-    text = low
-    if marked:
-        text = F.struct(low.alias("plain"), F.regexp_replace(low, r"(?U)\b", _MARK).alias("marked"))
-    return F.try_element_at(_constant_array(values), F.array_position(table, let(text, pick)).cast("int"))
+    return F.array_position(table, let(text, pick)).cast("int")
+
+
+def _first_bounded(text: Column, needles: list[str]) -> Column:
+    """The same of needles that stand between word boundaries; the first listed that begins at a character."""
+    begins = _class(sorted({n[0] for n in needles}))
+    any_of = "|".join(re.escape(n) for n in dict.fromkeys(needles))
+    found = F.regexp_extract_all(text, F.lit(rf"(?={begins})(?U)\b(?=({any_of})\b)"), 1)
+    table = _constant_array(needles)
+    return F.array_min(F.transform(found, lambda x: F.array_position(table, x))).cast("int")
+
+
+def _first_in(haystack: Column, needles: list[str], values: list[str]) -> Column:
+    """The value of the first needle contained in the text, null if none is."""
+    return F.try_element_at(_constant_array(values), _first_place(F.lower(haystack), needles))
 
 
 def _first_hit(haystack: Column, kmap: dict[str, list[str]], mode: str) -> Column:
     table = ranked(kmap, mode)
-    needles = [_mark(n) if bounded else n for n, _, bounded in table]
-    found = _first_in(haystack, needles, [category for _, category, _ in table])
+
+    def place(bounded: bool) -> Column:
+        ranks = [(i, n) for i, (n, _, b) in enumerate(table) if b == bounded]
+        if not ranks:
+            return F.lit(None).cast("int")
+        first = (_first_bounded if bounded else _first_place)(F.lower(haystack), [n for _, n in ranks])
+        return F.try_element_at(_constant_array([str(i + 1) for i, _ in ranks]), first).cast("int")
+
+    found = F.try_element_at(_constant_array([category for _, category, _ in table]), F.least(place(False), place(True)))
     return F.when(F.length(haystack) > 0, found)
 
 
@@ -97,7 +131,7 @@ def keyword_category(
 
 def _any(text: Column, words: list[str]) -> Column:
     """True if any of the literal words occurs."""
-    return text.rlike("|".join(re.escape(w) for w in words))
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
 
 def first_match_sector(category: Column | str, title: Column | str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ PAY_WORDS = "salary|remuneration|compensation|pay|stipend|rwf|usd|eur|frw"
 
 
 def _has(text: Column, words: Sequence[str]) -> Column:
-    return text.rlike("|".join(re.escape(w) for w in words))
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
 
 def experience_years(text: Column | str) -> Column:
@@ -53,25 +55,38 @@ def salary(text: Column | str, strict: bool = True) -> Column:
 
 
 def _salary(text: Column, strict: bool) -> Column:
-    low, digits = F.lower(text), F.replace(text, F.lit(","), F.lit(""))
+    pieces = F.struct(F.lower(text).alias("low"), F.replace(text, F.lit(","), F.lit("")).alias("digits"))
+    return let(pieces, lambda x: _numbers(x["low"], x["digits"], strict))
+
+
+def _numbers(low: Column, digits: Column, strict: bool) -> Column:
     currency = F.lit("")
     for code, symbols in reversed(list(vocab.CURRENCY.items())):
         currency = F.when(_has(low, symbols), code).otherwise(currency)
     number = r"([\d.]+)" if strict else r"(\d+)"
     span = rf"{number}(?U)\s*[-to]+\s*(?-U){number}"
-
-    def amount(c: Column) -> Column:
-        return c.try_cast("double")
-
+    first = F.regexp_extract(digits, span, 1)
+    # without a pay word the numbers do not count, and are not looked for
+    gate = _has(low, PAY_WORDS.split("|"))
     found = F.struct(
-        digits.rlike(span).alias("is_span"),
-        amount(F.regexp_extract(digits, span, 1)).alias("lo"),
-        amount(F.regexp_extract(digits, span, 2)).alias("hi"),
-        amount(F.regexp_extract(digits, r"([\d.]{4,})", 1)).alias("one"),
-        text.rlike(f"(?i){PAY_WORDS}").alias("gate"),
+        gate.alias("gate"),
+        (F.when(gate, first) if strict else first).alias("first"),
+        digits.alias("digits"),
         currency.alias("currency"),
     )
-    return let(found, lambda x: _amounts(x, strict))
+
+    def amounts(x: Column) -> Column:
+        is_span = x["first"] != ""
+        return F.struct(
+            is_span.alias("is_span"),
+            F.when(is_span, x["first"].try_cast("double")).alias("lo"),
+            F.when(is_span, F.regexp_extract(x["digits"], span, 2).try_cast("double")).alias("hi"),
+            F.when(~is_span, F.regexp_extract(x["digits"], r"([\d.]{4,})", 1).try_cast("double")).alias("one"),
+            x["gate"].alias("gate"),
+            x["currency"].alias("currency"),
+        )
+
+    return let(found, lambda x: let(amounts(x), lambda y: _amounts(y, strict)))
 
 
 def _amounts(x: Column, strict: bool) -> Column:

@@ -7,8 +7,9 @@ A new board is a new profile.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -575,6 +576,33 @@ PROFILES: dict[str, SourceProfile] = {
 }
 
 
+def _given(raw: DataFrame) -> DataFrame:
+    """All raw columns a classifier may read, missing ones empty, and the others of the input."""
+    return raw.select(
+        *[(F.col(n) if n in raw.columns else F.lit("").cast("string")).alias(n) for n in RAW],
+        *[c for c in raw.columns if c not in RAW],
+    )
+
+
+def _facts(profile: SourceProfile) -> dict[str, tuple[str, Column]]:
+    """Place and pay of a raw posting as the board reads them, each with a name for this way of reading."""
+    strict, districts, words = profile.strict_salary, profile.districts, profile.remote_words
+    place_from = _c("location_raw") if strict else T.first_nonempty("location_raw", F.substring("description", 1, 400), default="")
+    way = md5(repr((strict, tuple(districts), tuple(words))).encode()).hexdigest()[:8]
+    return {
+        "place": (f"_place_{way}", X.place(place_from, districts, words)),
+        "pay": (f"_pay_{'strict' if strict else 'loose'}", X.salary("salary_text" if strict else "description", strict)),
+    }
+
+
+def with_facts(raw: DataFrame, profiles: Iterable[SourceProfile]) -> DataFrame:
+    """Raw postings with every place and pay that the boards read, boards that read alike sharing one.
+
+    For raw postings that go to several boards; :func:`build_postings` adds what is missing.
+    """
+    return _given(raw).withColumns({n: c for p in profiles for n, c in _facts(p).values()})
+
+
 def build_postings(
     raw: DataFrame, profile: SourceProfile, as_of: Column, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -583,24 +611,14 @@ def build_postings(
     ``keep`` names columns the input already carries, such as ``source`` or ``is_active``.
     Three projections, no shuffle: place and salary first, then keywords, then eligibility.
     """
-    given = raw.select(
-        *[(F.col(n) if n in raw.columns else F.lit("").cast("string")).alias(n) for n in RAW],
-        *[c for c in raw.columns if c not in RAW],
-    )
-    salary_from = "salary_text" if profile.strict_salary else "description"
-    place_from = T.first_nonempty("location_raw", F.substring("description", 1, 400), default="") \
-        if not profile.strict_salary else _c("location_raw")
-    placed = given.withColumns(
-        {
-            "_place": X.place(place_from, profile.districts, profile.remote_words),
-            "_pay": X.salary(salary_from, profile.strict_salary),
-        }
-    )
+    given, facts = _given(raw), _facts(profile)
+    placed = given.withColumns({n: c for n, c in facts.values() if n not in given.columns})
+    place, pay = facts["place"][0], facts["pay"][0]
     base: Fields = {
         "id": T.identity("source_url"),
         "duplicate_hash": T.identity("source_url"),
-        **{n: F.col(f"_place.{n}") for n in ("location_raw", "district", "country", "is_remote", "is_hybrid")},
-        **{n: F.col(f"_pay.{n}") for n in ("salary_min", "salary_max", "currency", "salary_disclosed")},
+        **{n: F.col(f"{place}.{n}") for n in ("location_raw", "district", "country", "is_remote", "is_hybrid")},
+        **{n: F.col(f"{pay}.{n}") for n in ("salary_min", "salary_max", "currency", "salary_disclosed")},
         "source": F.lit(profile.name),
         "scraped_at": as_of,
         "last_checked": as_of,
@@ -608,7 +626,7 @@ def build_postings(
     }
     own = profile.classify(profile)
     made = {n: c for n, c in {**base, **own}.items() if n not in keep}
-    classified = placed.withColumns(made).drop("_place", "_pay")
+    classified = placed.withColumns(made).drop(place, pay)
     if "rwanda_eligible" not in own:
         verdict = X.eligibility(
             "title", "description", "location_raw", "is_remote", profile.disqualifiers,

@@ -1,13 +1,18 @@
 """Ingest, streaming, search plans and the check SQL."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from check_oracle import compare, connect
-from jobloom.operators import ingest, search
+from jobloom import vocab
+from jobloom.functions import classify
+from jobloom.operators import ingest, report, search
 from jobloom.plans import fixtures, pipeline, queries
 from jobloom.schema import NAMES, POSTING_SCHEMA
 from jobloom.sources import feeds
+from jobloom.sources.profiles import PROFILES, build_postings, with_facts
 from jobloom.streaming.incremental import STORED_SCHEMA, ingest_batch, stream_ingest
 
 
@@ -118,3 +123,40 @@ def test_postings_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     sizes = [len(p) for p in made.select("id").rdd.glom().collect()]
     # an order becomes one posting, every tenth a second one
     assert sum(sizes) == made.count() > 700 and max(sizes) <= 20
+
+
+@pytest.mark.parametrize("many", [1, 48])
+def test_first_keyword_equals_a_plain_search(spark, monkeypatch, many):
+    """Overlapping, nested, repeated and odd needles, as one pattern and one by one."""
+    monkeypatch.setattr(classify, "MANY", many)
+    kmap = {"A": ["data officer", "officer", "ff"], "B": ["data", "$5 (", "é", "ta off", "officer"], "C": ["a", "cer x", "it", "ict "]}
+    texts = ["", None, "officer", "data officer", "xdatax", "off", "cost $5 (net)", "café", "a", "OFFICER x", "line\nbreak data", "zzz", "it-data", "bit", "unit it", "ict x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for mode in (classify.SUBSTRING, classify.BOUNDARY_RAW, classify.BOUNDARY_STRIPPED):
+        def inside(n, bounded, t):
+            return re.search(rf"\b{re.escape(n)}\b", t) if bounded else n in t
+
+        want = [next((c for n, c, bounded in classify.ranked(kmap, mode) if inside(n, bounded, t.lower())), None) if t else None for t in texts]
+        got = df.select("i", classify.keyword_category("t", kmap, mode=mode).alias("c")).orderBy("i").collect()
+        assert [r.c for r in got] == want
+
+
+def test_a_long_table_is_one_pattern(spark):
+    """137 keywords are not tested one by one."""
+    plan = spark.range(1).select(classify.keyword_category(F.col("id").cast("string"), vocab.SECTOR))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "regexp_extract_all" in plan
+
+
+def test_boards_share_place_and_pay(spark, sf):
+    """Ten boards read place and pay in fewer ways than there are boards, and get what they get alone."""
+    raw = fixtures.job_postings(spark, sf).withColumnRenamed("deadline_raw", "deadline").withColumn("salary_text", F.col("description"))
+    shared = with_facts(raw, PROFILES.values())
+    ways = [c for c in shared.columns if c.startswith(("_place_", "_pay_"))]
+    assert len([c for c in ways if c.startswith("_pay_")]) == 2 and len(ways) < len(PROFILES)
+    got = {r.source: r for r in queries.queries()["all_boards"](spark, sf).collect()}
+    assert set(got) == set(PROFILES)
+    for name, p in PROFILES.items():
+        alone = build_postings(raw, p, fixtures.as_of())
+        assert report.run_summary(alone).collect() == [got[name]]
+        same = build_postings(shared, p, fixtures.as_of())
+        assert same.exceptAll(alone).count() == 0 and same.count() == alone.count()
