@@ -349,7 +349,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 MOST_GRAMS = 6
 # Keys that a task packs at a time.
 SKETCHED = 1 << 21
-# Bytes of the marks of all buckets together, which every task gets.
+# Bytes of the marks of all buckets together, at most; every task gets them.
 MARKS = 1 << 24
 
 

@@ -140,18 +140,20 @@ def similar_names(names: DataFrame, blocking: Blocking = DEFAULT_BLOCKING) -> Da
     counts = {f"_counts_{x}": letter_counts(F.col(x)) for x in "ab"}
     similar = written(_both_ratios(pairs.withColumns(counts), "a", "b", COMPANY), "similar-names")
     dropped(named)
+    if marks:
+        marks.destroy()
     return similar
 
 
 def _repeated_keys(spread: DataFrame, plan: LengthPlan, names: int) -> np.ndarray:
     """Marks (bucket, bytes) of the keys of subsequences that occur more than once; of others, a few.
 
-    Their size is fixed: with very many such keys they only leave fewer out.
+    Their size is bounded: with very many such keys they only leave fewer out.
     """
     buckets = 16
     while buckets * 4096 < names and buckets < MARKS >> 10:
         buckets *= 2
-    size = MARKS // buckets
+    size = max(64, min(MARKS, 64 * names) // buckets)
     sketches = spread.mapInArrow(lambda it: plan.sketches(it, buckets), "bucket int, keys binary")
     found = sketches.groupBy("bucket").applyInArrow(repeated_marks(size), "bucket int, marks binary")
     out = np.zeros((buckets, size), np.uint8)
